@@ -1,4 +1,410 @@
-"""The ledger queries by name, with their SQL."""
+"""The ledger queries by name, with their SQL.
+
+The tables these run over are in ``sources.derived``: a clean ledger (l1), one
+with conflicting ids (l2), one with redeliveries (l3), a fenced log (l4) and
+metric samples (l6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.scalar import backoff_ms, fingerprint, reason, saturating_lag, shard
+from .operators import ledger, reads
+from .plans import observe, replay
+from .schema import FIELDS, PAYLOAD
+from .sources import derived, files
+from .sources.derived import clean, conflicting, fenced_log, redelivered, samples, with_ledgers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+OPS = ", ".join(FIELDS)
+PAY = ", ".join(PAYLOAD)
+#: Of the clean ledger, what is in the state before a batch comes.
+SPLIT = 5000
+BALANCES = "SELECT owner_id, sku, CAST(sum(delta) AS BIGINT) AS balance FROM {} GROUP BY owner_id, sku"
+
+
+def query(sql: str | None = None, *ledgers: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_ledgers(sql, *ledgers) if ledgers else sql
+        return f
+
+    return add
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(repr(x) if x is not None else "NULL" for x in r) + ")" for r in rows)
+
+
+# ---- balances -------------------------------------------------------------
+
+
+@query(BALANCES.format("l1"), "l1")
+def q_balances(spark, sf_dir):
+    return ledger.balances(clean(spark, sf_dir))
+
+
+@query("SELECT 'user-7' AS owner_id, 'click' AS sku, (SELECT CAST(coalesce(sum(delta), 0) AS BIGINT) FROM l1 WHERE owner_id = 'user-7' AND sku = 'click') AS balance, (SELECT max(sequence) FROM l1) AS generation", "l1")
+def q_balance_point(spark, sf_dir):
+    return reads.balance_point(clean(spark, sf_dir), "user-7", "click")
+
+
+KEYS = [(0, "user-3", "click"), (1, "nobody", "click"), (2, "user-5", "purchase"), (3, "user-3", "click"), (4, "user-4", "nothing")]
+
+
+@query(f"SELECT pos, k.owner_id, k.sku, coalesce(balance, 0) AS balance FROM (VALUES {values(KEYS)}) k(pos, owner_id, sku) LEFT JOIN ({BALANCES.format('l1')}) b ON b.owner_id = k.owner_id AND b.sku = k.sku", "l1")
+def q_balances_batch(spark, sf_dir):
+    return reads.balances_batch(clean(spark, sf_dir), rows_of(spark, KEYS, "pos int, owner_id string, sku string"))
+
+
+@query(f"SELECT o.owner_id, CAST(coalesce(sum(balance), 0) AS BIGINT) AS total_balance, count(balance) AS n_positions FROM (VALUES ('user-1'), ('user-2'), ('nobody')) o(owner_id) LEFT JOIN ({BALANCES.format('l1')}) b USING (owner_id) GROUP BY o.owner_id", "l1")
+def q_owner_summary(spark, sf_dir):
+    return reads.owner_summary(clean(spark, sf_dir), rows_of(spark, [("user-1",), ("user-2",), ("nobody",)], "owner_id string"))
+
+
+@query("SELECT sku, CAST(sum(delta) AS BIGINT) AS balance FROM l1 WHERE owner_id = 'user-1' GROUP BY sku", "l1")
+def q_owner_positions(spark, sf_dir):
+    return reads.owner_positions(clean(spark, sf_dir), "user-1")
+
+
+@query(BALANCES.format("l1"), "l1")
+def q_snapshot_plus_tail(spark, sf_dir):
+    rows = clean(spark, sf_dir)
+    return ledger.snapshot_plus_tail(ledger.balances(rows.where(F.col("sequence") < SPLIT)), rows.where(F.col("sequence") >= SPLIT))
+
+
+@query("SELECT sequence, owner_id, sku, CAST(sum(delta) OVER (PARTITION BY owner_id, sku ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM l1", "l1")
+def q_running_balance(spark, sf_dir):
+    return ledger.running_balances(clean(spark, sf_dir), "sequence").select("sequence", "owner_id", "sku", "balance")
+
+
+# ---- history --------------------------------------------------------------
+
+
+@query(f"SELECT {OPS} FROM l1 WHERE operation_id = 'evt-42'", "l1")
+def q_operation_by_id(spark, sf_dir):
+    return clean(spark, sf_dir).where("operation_id = 'evt-42'").select(FIELDS)
+
+
+IDS = [(0, "evt-9"), (1, "evt-3"), (2, "missing"), (3, "evt-9")]
+
+
+@query(f"SELECT pos, l1.operation_id, {PAY} FROM (VALUES {values(IDS)}) k(pos, operation_id) JOIN l1 USING (operation_id)", "l1")
+def q_operations_batch(spark, sf_dir):
+    return reads.operations_batch(clean(spark, sf_dir), rows_of(spark, IDS, "pos int, operation_id string"))
+
+
+@query(f"SELECT {OPS} FROM l1 WHERE operation_id > 'evt-5' ORDER BY operation_id LIMIT 250", "l1")
+def q_scan_page(spark, sf_dir):
+    return reads.page(clean(spark, sf_dir), cursor="evt-5", limit=250)
+
+
+@query(f"SELECT {OPS} FROM l1 WHERE owner_id = 'user-11' ORDER BY operation_id LIMIT 100", "l1")
+def q_ops_by_owner(spark, sf_dir):
+    return reads.page(clean(spark, sf_dir), F.col("owner_id") == "user-11")
+
+
+@query(f"SELECT {OPS} FROM l1 WHERE sku = 'click' AND operation_id > 'evt-3' ORDER BY operation_id LIMIT 100", "l1")
+def q_ops_by_sku(spark, sf_dir):
+    return reads.page(clean(spark, sf_dir), F.col("sku") == "click", cursor="evt-3")
+
+
+@query("SELECT count(*) AS n, CASE WHEN count(*) = 20 THEN max(operation_id) END AS next_cursor FROM (SELECT operation_id FROM l1 WHERE owner_id = 'user-11' ORDER BY operation_id LIMIT 20)", "l1")
+def q_next_cursor(spark, sf_dir):
+    return reads.next_cursor(reads.page(clean(spark, sf_dir), F.col("owner_id") == "user-11", limit=20), 20)
+
+
+@query("SELECT owner_id, page, count(*) AS n, CASE WHEN count(*) = 10 THEN max(operation_id) END AS next_cursor FROM (SELECT owner_id, operation_id, CAST(floor((row_number() OVER (PARTITION BY owner_id ORDER BY operation_id) - 1) / 10.0) AS BIGINT) AS page FROM l1) GROUP BY owner_id, page", "l1")
+def q_paginate(spark, sf_dir):
+    return reads.pages(clean(spark, sf_dir), "owner_id", 10)
+
+
+@query(f"SELECT {OPS} FROM (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence) AS rn FROM l2) WHERE rn = 1", "l2")
+def q_first_wins(spark, sf_dir):
+    return ledger.first_wins(conflicting(spark, sf_dir), "arrival").select(FIELDS)
+
+
+@query(f"SELECT {OPS} FROM (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC) AS rn FROM l3) WHERE rn = 1", "l3")
+def q_history(spark, sf_dir):
+    return ledger.last_wins(redelivered(spark, sf_dir), "sequence").select(FIELDS)
+
+
+# ---- deduplication and conflicts ------------------------------------------
+
+
+@query(f"SELECT operation_id, count(DISTINCT ({PAY})) AS n_payloads FROM l2 GROUP BY operation_id HAVING count(DISTINCT ({PAY})) > 1", "l2")
+def q_conflicts(spark, sf_dir):
+    return ledger.conflicts(conflicting(spark, sf_dir))
+
+
+def split(spark, sf_dir):
+    rows = redelivered(spark, sf_dir)
+    return rows.where(F.col("sequence") < SPLIT), rows.where(F.col("sequence") >= SPLIT)
+
+
+@query(f"SELECT operation_id FROM l3 WHERE sequence >= {SPLIT} AND operation_id NOT IN (SELECT operation_id FROM l3 WHERE sequence < {SPLIT})", "l3")
+def q_fresh_anti(spark, sf_dir):
+    seen, batch = split(spark, sf_dir)
+    return ledger.fresh(batch, seen).select("operation_id")
+
+
+@query(f"SELECT operation_id FROM l3 WHERE sequence >= {SPLIT} AND ({OPS}) IN (SELECT ({OPS}) FROM l3 WHERE sequence < {SPLIT})", "l3")
+def q_duplicates_semi(spark, sf_dir):
+    seen, batch = split(spark, sf_dir)
+    return ledger.duplicates(batch, seen).select("operation_id")
+
+
+@query("SELECT a.operation_id, a.delta FROM (SELECT * FROM l2 WHERE owner_id < 'supp-3') a WHERE EXISTS (SELECT 1 FROM l2 b WHERE b.owner_id >= 'supp-3' AND a.operation_id = b.operation_id)", "l2")
+def q_stored_conflicts(spark, sf_dir):
+    rows = conflicting(spark, sf_dir)
+    return ledger.stored_conflicts(rows.where("owner_id < 'supp-3'"), rows.where("owner_id >= 'supp-3'")).select("operation_id", "delta")
+
+
+@query(f"SELECT sha256(concat_ws('|', {OPS})) AS payload_sha, count(*) AS n FROM l3 GROUP BY 1", "l3")
+def q_message_dedup(spark, sf_dir):
+    sha = F.sha2(F.concat_ws("|", *FIELDS).cast("binary"), 256).alias("payload_sha")
+    return redelivered(spark, sf_dir).groupBy(sha).agg(F.count("*").alias("n"))
+
+
+STATUS = "CASE WHEN row_number() OVER (PARTITION BY operation_id ORDER BY sequence) = 1 THEN 'applied' ELSE 'duplicate' END"
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT {STATUS} AS status FROM l3) GROUP BY status", "l3")
+def q_status_counts(spark, sf_dir):
+    per_id = redelivered(spark, sf_dir).groupBy("operation_id").agg(F.count("*").alias("c"))
+    totals = per_id.agg(F.count("*").alias("applied"), F.sum(F.col("c") - 1).alias("duplicate"))
+    return totals.unpivot([], ["applied", "duplicate"], "status", "n").where("n > 0")
+
+
+def one_batch(spark, sf_dir):
+    """A batch of which half was seen before, with every tenth row a second time."""
+    rows = clean(spark, sf_dir)
+    batch = rows.where(F.col("sequence").between(SPLIT // 10 - 50, SPLIT // 10 + 49)).withColumn("pos", F.col("sequence") - (SPLIT // 10 - 50))
+    return rows.where(F.col("sequence") < SPLIT // 10), batch.unionByName(batch.where("pos % 10 = 0").withColumn("pos", F.col("pos") + 100))
+
+
+CUT = SPLIT // 10
+
+
+@query(f"""SELECT pos, {OPS}, status, CAST(before + CASE WHEN status = 'applied' THEN sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS balance FROM (
+    SELECT r.*, coalesce(b.balance, 0) AS before, CASE WHEN sequence >= {CUT} AND row_number() OVER (PARTITION BY operation_id ORDER BY pos) = 1 THEN 'applied' ELSE 'duplicate' END AS status FROM (
+        SELECT *, sequence - {CUT - 50} AS pos FROM l1 WHERE sequence BETWEEN {CUT - 50} AND {CUT + 49}
+        UNION ALL SELECT *, sequence - {CUT - 50} + 100 AS pos FROM l1 WHERE sequence BETWEEN {CUT - 50} AND {CUT + 49} AND (sequence - {CUT - 50}) % 10 = 0) r
+    LEFT JOIN (SELECT owner_id, sku, sum(delta) AS balance FROM l1 WHERE sequence < {CUT} GROUP BY owner_id, sku) b USING (owner_id, sku))""", "l1")
+def q_batch_classify(spark, sf_dir):
+    seen, batch = one_batch(spark, sf_dir)
+    return ledger.classify(batch, seen, ledger.balances(seen))
+
+
+@query(f"SELECT operation_id FROM l2 WHERE owner_id LIKE 'supp-1%' GROUP BY operation_id HAVING count(DISTINCT ({PAY})) > 1 UNION SELECT a.operation_id FROM l2 a JOIN l2 b ON a.operation_id = b.operation_id WHERE a.owner_id LIKE 'supp-1%' AND b.owner_id LIKE 'supp-2%'", "l2")
+def q_batch_conflicts(spark, sf_dir):
+    rows = conflicting(spark, sf_dir)
+    return ledger.batch_conflicts(rows.where("owner_id like 'supp-1%'"), rows.where("owner_id like 'supp-2%'"))
+
+
+# ---- the log --------------------------------------------------------------
+
+FENCED = "record_type = 'operations' AND epoch = active"
+DEAD = "record_type = 'poison' OR (record_type = 'operations' AND epoch <> active)"
+
+
+@query("SELECT sequence, record_type, epoch FROM l4 WHERE sequence = 500", "l4")
+def q_log_read(spark, sf_dir):
+    return fenced_log(spark, sf_dir).where("sequence = 500").select("sequence", "record_type", "epoch")
+
+
+@query("SELECT sequence, record_type, coalesce(epoch, -1) AS epoch FROM l4 WHERE sequence > 700", "l4")
+def q_log_tail(spark, sf_dir):
+    return fenced_log(spark, sf_dir).where("sequence > 700").select("sequence", "record_type", F.coalesce("epoch", F.lit(-1)).alias("epoch"))
+
+
+@query("SELECT max(sequence) AS last_sequence, count(*) AS messages, CAST(sum(strlen(operation_id)) AS BIGINT) AS bytes FROM l4", "l4")
+def q_log_storage(spark, sf_dir):
+    return fenced_log(spark, sf_dir).agg(F.max("sequence").alias("last_sequence"), F.count("*").alias("messages"), F.sum(F.octet_length("operation_id").cast("long")).alias("bytes"))
+
+
+@query("SELECT sequence, record_type, coalesce(epoch, -1) AS epoch, active FROM l4", "l4")
+def q_active_epoch(spark, sf_dir):
+    return replay.active_epochs(fenced_log(spark, sf_dir)).select("sequence", "record_type", F.coalesce("epoch", F.lit(-1)).alias("epoch"), "active")
+
+
+@query(f"SELECT sequence, epoch, {OPS} FROM l4 WHERE {FENCED}", "l4")
+def q_fenced_ops(spark, sf_dir):
+    return replay.fenced(fenced_log(spark, sf_dir)).select("sequence", "epoch", *FIELDS)
+
+
+@query("SELECT sequence, epoch, active FROM l4 WHERE record_type = 'operations' AND epoch <> active", "l4")
+def q_stale(spark, sf_dir):
+    return replay.stale(fenced_log(spark, sf_dir)).select("sequence", "epoch", "active")
+
+
+@query(f"SELECT 'ledger' AS source_stream, sequence AS source_sequence, CASE WHEN record_type = 'poison' THEN 'poison' ELSE 'stale' END AS reason FROM l4 WHERE {DEAD}", "l4")
+def q_dlq(spark, sf_dir):
+    return replay.dead_letters(fenced_log(spark, sf_dir))
+
+
+@query(f"SELECT sequence, {OPS}, CAST(sum(delta) OVER (PARTITION BY owner_id, sku ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM l4 WHERE {FENCED}", "l4")
+def q_replay(spark, sf_dir):
+    return replay.replay(fenced_log(spark, sf_dir)).select("sequence", *FIELDS, "balance")
+
+
+@query(f"SELECT owner_id, sku, CAST(sum(delta) AS BIGINT) AS balance FROM l4 WHERE {FENCED} GROUP BY owner_id, sku", "l4")
+def q_replay_balances(spark, sf_dir):
+    rows = replay.fenced(fenced_log(spark, sf_dir)).select("sequence", *FIELDS)
+    return ledger.balances(ledger.first_wins(rows, "sequence"))
+
+
+@query(f"SELECT {OPS} FROM l4 WHERE {FENCED}", "l4")
+def q_log_history(spark, sf_dir):
+    return replay.history(fenced_log(spark, sf_dir)).select(FIELDS)
+
+
+@query("SELECT max(sequence) AS last_sequence, CAST(900 AS BIGINT) AS checkpoint, greatest(max(sequence) - 900, 0) AS lag FROM l4", "l4")
+def q_lag(spark, sf_dir):
+    done = F.lit(900).cast("long")
+    return fenced_log(spark, sf_dir).agg(F.max("sequence").alias("last_sequence")).select("last_sequence", done.alias("checkpoint"), saturating_lag(F.col("last_sequence"), done).alias("lag"))
+
+
+# ---- scalars --------------------------------------------------------------
+
+BAD = [
+    ("bad-0", "o", "s", 0, 1), (" lead", "o", "s", 1, 1), ("bad-2", "o ", "s", 1, 1), ("bad-3", "o", "", 1, 1), ("bad-4", "o", "s", 1000000001, 1),
+    ("bad-5", "o", "s", -1000000001, 1), ("bad-6", "o", "s", 1, 2), ("x" * 129, "o", "s", 1, 1), ("ok-1", "o", "s", 1000000000, 1), ("ok-2", "x" * 128, "s", -1000000000, 1),
+]
+
+
+def _bad_id(c: str) -> str:
+    return f"(strlen({c}) NOT BETWEEN 1 AND 128 OR regexp_matches({c}, '^\\s|\\s$') OR regexp_matches({c}, '[\\x00-\\x1F\\x7F]'))"
+
+
+@query(f"""SELECT operation_id, CASE WHEN {_bad_id('operation_id')} THEN 'invalid operation_id' WHEN {_bad_id('owner_id')} THEN 'invalid owner_id' WHEN {_bad_id('sku')} THEN 'invalid sku'
+    WHEN delta = 0 THEN 'zero delta' WHEN delta NOT BETWEEN -1000000000 AND 1000000000 THEN 'delta out of range' WHEN event_version <> 1 THEN 'unsupported version' END AS reason
+    FROM (SELECT {OPS} FROM l1 UNION ALL SELECT * FROM (VALUES {values(BAD)}))""", "l1")
+def q_validate(spark, sf_dir):
+    rows = clean(spark, sf_dir).select(FIELDS).unionByName(rows_of(spark, BAD, "operation_id string, owner_id string, sku string, delta long, event_version long"))
+    return rows.select("operation_id", reason().alias("reason"))
+
+
+def _le(x: str) -> str:
+    groups = "(..)" * 8
+    back = "".join(f"\\{k}" for k in range(8, 0, -1))
+    return f"regexp_replace(lpad(hex(CAST({x} AS BIGINT)), 16, '0'), '{groups}', '{back}')"
+
+
+@query(f"SELECT operation_id, sha256(unhex(concat({_le('strlen(owner_id)')}, hex(owner_id), {_le('strlen(sku)')}, hex(sku), '0800000000000000', {_le('delta')}, '0800000000000000', {_le('event_version')}))) AS fingerprint FROM l1", "l1")
+def q_fingerprint(spark, sf_dir):
+    return clean(spark, sf_dir).select("operation_id", fingerprint().alias("fingerprint"))
+
+
+@query("SELECT sha256(operation_id) AS id_hash, CAST(('0x' || substr(sha256(operation_id), 1, 2)) AS BIGINT) % 64 AS shard, concat('run-', operation_id) AS replay_id FROM l1", "l1")
+def q_keys(spark, sf_dir):
+    return clean(spark, sf_dir).select(F.sha2("operation_id", 256).alias("id_hash"), shard(F.col("operation_id"), 64).alias("shard"), F.concat(F.lit("run-"), "operation_id").alias("replay_id"))
+
+
+@query("SELECT a AS attempt, CAST(least(25 * pow(2, least(a, 4)), 500) AS BIGINT) AS backoff_ms FROM range(8) t(a)")
+def q_backoff(spark, sf_dir):
+    return spark.range(8).select(F.col("id").alias("attempt"), backoff_ms(F.col("id")).alias("backoff_ms"))
+
+
+LINES = [
+    (1, '{"record_type":"fence","epoch":8,"owner":"writer-1"}'),
+    (2, '{"record_type":"operations","epoch":8,"operations":[{"operation_id":"a","owner_id":"o","sku":"s","delta":5,"event_version":1}]}'),
+    (3, '[{"operation_id":"b","owner_id":"o","sku":"s","delta":5}]'),
+    (4, "{invalid-json"), (5, '{"record_type":"operations","epoch":8,"operations":[{"operation_id":"c","owner_id":"o","sku":"s","delta":0}]}'),
+    (6, '{"record_type":"operations","epoch":8,"operations":[{"operation_id":"c","owner_id":"o","sku":"s","delta":3.5}]}'), (7, "[]"),
+]
+
+
+@query()
+def q_decode_cascade(spark, sf_dir):
+    return files.decode(rows_of(spark, LINES, "sequence long, value string")).select("sequence", "record_type", "epoch", F.size("operations").alias("n_ops"))
+
+
+# ---- monitoring -----------------------------------------------------------
+
+
+def _at(p: int) -> str:
+    return f"list_sort(list(value))[CAST(floor((count(*) - 1) * {p} / 100.0) AS BIGINT) + 1] AS p{p}"
+
+
+@query(f"SELECT instance, {_at(50)}, {_at(95)}, {_at(99)} FROM l6 GROUP BY instance", "l6")
+def q_percentiles(spark, sf_dir):
+    return observe.percentiles(samples(spark, sf_dir), "instance", "value")
+
+
+@query("SELECT count(*) AS completed, count(DISTINCT operation_id) AS applied, count(*) - count(DISTINCT operation_id) AS duplicates FROM l3", "l3")
+def q_load_report(spark, sf_dir):
+    per_id = redelivered(spark, sf_dir).groupBy("operation_id").agg(F.count("*").alias("c"))
+    return per_id.agg(F.sum("c").alias("completed"), F.count("*").alias("applied"), F.sum(F.col("c") - 1).alias("duplicates"))
+
+
+@query("SELECT instance, CAST(floor(event_id / 100.0) AS BIGINT) AS cycle, round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0 / count(*), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM l6 GROUP BY 1, 2", "l6")
+def q_cycle_stats(spark, sf_dir):
+    cycle = F.floor(F.col("event_id") / 100).cast("long").alias("cycle")
+    mean = F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(100.0) / F.count("*"), 6)
+    return samples(spark, sf_dir).groupBy("instance", cycle).agg(mean.alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("*").alias("n"))
+
+
+def error_counts(spark, sf_dir):
+    w = Window.partitionBy("instance").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return samples(spark, sf_dir).withColumn("errors", F.sum("is_error").over(w))
+
+
+@query("""SELECT event_id, instance, sum(increase) OVER (PARTITION BY instance ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) / 60.0 AS rate FROM (
+    SELECT *, CASE WHEN before IS NULL THEN 0 WHEN errors < before THEN errors ELSE errors - before END AS increase FROM (
+        SELECT *, lag(errors) OVER (PARTITION BY instance ORDER BY us, event_id) AS before FROM (
+            SELECT *, sum(is_error) OVER (PARTITION BY instance ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS errors FROM l6)))""", "l6")
+def q_rate(spark, sf_dir):
+    return observe.rates(error_counts(spark, sf_dir), "errors", "instance", "us", "event_id").select("event_id", "instance", "rate")
+
+
+@query("""SELECT 'HighValue' AS alert, instance, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
+    SELECT *, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (PARTITION BY instance ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM l6)
+    WHERE value > 50 GROUP BY instance, island HAVING max(us) - min(us) >= 5000000""", "l6")
+def q_alerts(spark, sf_dir):
+    return observe.alerts(samples(spark, sf_dir), "HighValue", "instance", "us", "event_id", F.col("value") > 50, 5)
+
+
+METRICS = f"""SELECT 'balance_positions' AS metric, (SELECT count(*) FROM (SELECT DISTINCT owner_id, sku FROM l4 WHERE {FENCED})) AS value
+    UNION ALL SELECT 'history_entries', (SELECT count(*) FROM l4 WHERE {FENCED}) UNION ALL SELECT 'stream_messages', (SELECT count(*) FROM l4)
+    UNION ALL SELECT 'dead_letters', (SELECT count(*) FROM l4 WHERE {DEAD}) UNION ALL SELECT 'writer_epoch', (SELECT max(active) FROM l4)
+    UNION ALL SELECT 'replication_last_sequence', (SELECT max(sequence) FROM l4)"""
+
+
+@query(METRICS, "l4")
+def q_cardinality(spark, sf_dir):
+    rows = replay.active_epochs(fenced_log(spark, sf_dir))
+    live = (F.col("record_type") == "operations") & (F.col("epoch") == F.col("active"))
+    dead = (F.col("record_type") == "poison") | ((F.col("record_type") == "operations") & (F.col("epoch") != F.col("active")))
+    # positions are made distinct by a first aggregation that also carries the other sums
+    part = rows.groupBy(F.when(live, F.col("owner_id")).alias("o"), F.when(live, F.col("sku")).alias("s")).agg(
+        F.count_if(live).alias("h"), F.count("*").alias("m"), F.count_if(dead).alias("d"), F.max("active").alias("e"), F.max("sequence").alias("q"))
+    one = part.agg(F.count("o").alias("balance_positions"), F.sum("h").alias("history_entries"), F.sum("m").alias("stream_messages"),
+        F.sum("d").alias("dead_letters"), F.max("e").alias("writer_epoch"), F.max("q").alias("replication_last_sequence"))
+    return one.unpivot([], one.columns, "metric", "value")
+
+
+@query(f"SELECT concat('warehouse_', metric, ' ', value) AS value FROM ({METRICS})", "l4")
+def q_metrics(spark, sf_dir):
+    return observe.exposition(q_cardinality(spark, sf_dir))
+
+
+# ---- generators -----------------------------------------------------------
+
+
+@query("SELECT concat('run-', i) AS operation_id, concat('owner-', i % 10000) AS owner_id, concat('sku-', i % 1000) AS sku, CAST(1 AS BIGINT) AS delta, CAST(1 AS BIGINT) AS event_version FROM range(20000) t(i)")
+def q_generate(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(20000).select(F.concat(F.lit("run-"), i).alias("operation_id"), F.concat(F.lit("owner-"), i % 10000).alias("owner_id"), F.concat(F.lit("sku-"), i % 1000).alias("sku"), F.lit(1).cast("long").alias("delta"), F.lit(1).cast("long").alias("event_version"))
+
+
+@query("SELECT i AS slot, CASE WHEN i % 5 = 4 THEN 'write' ELSE 'read' END AS kind FROM range(1000) t(i)")
+def q_mixed_schedule(spark, sf_dir):
+    return spark.range(1000).select(F.col("id").alias("slot"), F.when(F.col("id") % 5 == 4, "write").otherwise("read").alias("kind"))
