@@ -6,7 +6,8 @@ every two neighbours are what the merges make of their bytes. A state holds the
 suffix that may still grow into a token and, for each token boundary in it, the
 last token and the output since what has been emitted (subset construction with
 delayed output). As soon as all boundaries share a token, it is emitted: the
-lookahead never exceeds the longest token.
+lookahead never exceeds the longest token. A boundary is held as a node of the
+vocabulary's trie, the bytes since it.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine; its
 transitions are also tabled by token."""
@@ -35,10 +36,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class State:
-    __slots__ = ("suffix", "live", "step", "rest")
+    __slots__ = ("live", "step", "rest", "met")
 
-    def __init__(self, suffix: bytes, live: tuple, rest: tuple):
-        self.suffix, self.live, self.rest = suffix, live, rest
+    def __init__(self, live: tuple):
+        self.live, self.rest, self.met = live, live[-1][2], 0
         self.step: dict[int, tuple[State, tuple]] = {}
 
 
@@ -48,70 +49,135 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.sound: dict[bytes, bool] = {}
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
+        self.edges: dict[int, tuple[list, list] | None] = {}
+        # the vocabulary as a trie: (node, byte) to node, the token that ends in a node, whether a node goes on
+        self.trie: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], bytearray(1)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.goes_on[node] = 1
+                below = self.trie.get(node << 8 | byte)
+                if below is None:
+                    below = self.trie[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(0)
+                node = below
+            self.token_at[node] = rank
         self.start()
 
     def start(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.first = self.state(b"", ((0, None, ()),))
+        self.first = self.state(((0, None, ()),))
 
-    def state(self, suffix: bytes, live: tuple) -> State:
-        got = self.states.get((suffix, live))
+    def state(self, live: tuple) -> State:
+        got = self.states.get(live)
         if got is None:
-            got = self.states[suffix, live] = State(suffix, live, live[-1][2])
+            got = self.states[live] = State(live)
         return got
 
-    def merged(self, data: bytes) -> list[int]:
-        """What the merges make of a few bytes, lowest rank first, leftmost first."""
+    def outer(self, token: int) -> tuple[list, list] | None:
+        """The parts that stand at a token's left and right end while the merges
+        make it, each with its rank and that of the merge that takes it up; None
+        if the merges make something else of the token's bytes."""
+        if token in self.edges:
+            return self.edges[token]
+        data = self.bytes_of[token]
         parts = [data[i : i + 1] for i in range(len(data))]
+        left, right = [(parts[0], -1)], [(parts[-1], -1)]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 60:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def neighbours(self, one: int | None, two: int) -> bool:
-        if one is None:
-            return True
-        got = self.pairs.get((one, two))
-        if got is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[one, two] = self.merged(self.bytes_of[one] + self.bytes_of[two]) == [one, two]
+            if i == 0:
+                left.append((parts[0], rank))
+            if i == len(parts) - 1:
+                right.append((parts[-1], rank))
+        got = None
+        if len(parts) == 1:
+            ends = lambda side: [(p, r, after) for (p, r), (_, after) in zip(side, [*side[1:], (b"", 1 << 60)])]
+            got = ends(left), ends(right)
+        self.edges[token] = got
         return got
 
-    def reachable(self, token: bytes) -> bool:
-        got = self.sound.get(token)
-        if got is None:
-            got = self.sound[token] = self.merged(token) == [self.ranks[token]]
+    def neighbours(self, one: int | None, two: int) -> bool:
+        """Whether the merges make the second token and leave the two apart: no
+        merge across the boundary comes before the merges that take up its two
+        parts. Of equal ranks the leftmost comes first."""
+        ranks, before, after = self.ranks, self.outer(one)[1] if one is not None else [], self.outer(two)
+        got = after is not None
+        if got:
+            for a, made_a, taken_a in before:
+                for b, made_b, taken_b in after[0]:
+                    if made_b < taken_a and made_a < taken_b and (r := ranks.get(a + b)) is not None and r < taken_a and r <= taken_b:
+                        got = False
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        self.pairs[one, two] = got
         return got
 
     def advance(self, state: State, byte: int) -> tuple[State, tuple]:
-        suffix = state.suffix + bytes((byte,))
-        end, new, live = len(suffix), None, []
-        for offset, last, pending in state.live:
-            part = suffix[offset:]
-            if new is None and (t := self.ranks.get(part)) is not None and self.reachable(part) and self.neighbours(last, t):
-                new = (end, t, (*pending, t))
-            if part in self.prefixes:
-                live.append((offset, last, pending))
+        """Determinises one transition."""
+        new, live = None, []
+        for node, last, pending in state.live:
+            below = self.trie.get(node << 8 | byte)
+            if below is None:
+                continue
+            t = self.token_at[below]
+            if new is None and t >= 0:
+                fit = self.pairs.get((last, t))
+                if self.neighbours(last, t) if fit is None else fit:
+                    new = (0, t, (*pending, t))
+            if self.goes_on[below]:
+                live.append((below, last, pending))
         live.append(new)
-        k, shortest = 0, min(len(p) for _, _, p in live)
-        while k < shortest and len({p[k] for _, _, p in live}) == 1:
+        oldest = live[0][2]
+        k, most = 0, min(len(p) for _, _, p in live)
+        while k < most and all(p[k] == oldest[k] for _, _, p in live):
             k += 1
-        emitted, cut = live[0][2][:k], live[0][0]
         if len(self.states) >= MOST_STATES:
             self.start()
-        after = self.state(suffix[cut:], tuple((o - cut, last, p[k:]) for o, last, p in live))
-        return after, emitted
+        if k:
+            live = [(n, last, p[k:]) for n, last, p in live]
+        return self.state(tuple(live)), oldest[:k]
+
+    def simulate(self, live: tuple, rest: bytes) -> tuple[int, ...]:
+        """The output from a state over the rest of a piece, without making
+        states: what is pending is held as links."""
+        trie, token_at, goes_on, pairs = self.trie, self.token_at, self.goes_on, self.pairs
+        now = [(node, last, (pending, None)) for node, last, pending in live]
+        for byte in rest:
+            new, after = None, []
+            for node, last, chain in now:
+                below = trie.get(node << 8 | byte)
+                if below is None:
+                    continue
+                if new is None and (t := token_at[below]) >= 0:
+                    fit = pairs.get((last, t))
+                    if self.neighbours(last, t) if fit is None else fit:
+                        new = (0, t, (chain, t))
+                if goes_on[below]:
+                    after.append((below, last, chain))
+            after.append(new)
+            now = after
+        out, chain = [], now[-1][2]
+        while chain[1] is not None:
+            out.append(chain[1])
+            chain = chain[0]
+        return (*chain[0], *reversed(out))
 
     def transduce(self, data: bytes) -> tuple[int, ...]:
+        """Runs as far as transitions are made. One that is met for the first
+        time is only noted, and the piece is finished by simulation; the second
+        time it is made. So states are for what recurs."""
         state, out = self.first, []
-        for byte in data:
+        for at, byte in enumerate(data):
             go = state.step.get(byte)
             if go is None:
+                if not state.met >> byte & 1:
+                    state.met |= 1 << byte
+                    return (*out, *self.simulate(state.live, data[at:]))
                 go = state.step[byte] = self.advance(state, byte)
             state, emitted = go
             if emitted:
