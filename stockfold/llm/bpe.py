@@ -9,6 +9,11 @@ delayed output). As soon as all boundaries share a token, it is emitted: the
 lookahead never exceeds the longest token. A boundary is held as a node of the
 vocabulary's trie, the bytes since it.
 
+Transitions are made once they recur. What is rare is finished depth first over
+the same tokens: as the path to each boundary is unique, a search that takes the
+longest token first and steps back where neighbours do not fit sees no boundary
+twice.
+
 Decoding feeds token bytes to an incremental UTF-8 state machine; its
 transitions are also tabled by token."""
 
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -27,7 +33,10 @@ from .common import appended, table
 
 #: Entries of a table before it is emptied.
 MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 200_000, 400_000
+#: Times that a transition is met before it is made.
+RECURS = 8
 LONG = 1 << 20
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,20 +48,40 @@ class State:
     __slots__ = ("live", "step", "rest", "met")
 
     def __init__(self, live: tuple):
-        self.live, self.rest, self.met = live, live[-1][2], 0
+        self.live, self.rest = live, live[-1][2]
+        self.met: dict[int, int] = {}
         self.step: dict[int, tuple[State, tuple]] = {}
 
 
+class Pieces(dict):
+    """Pieces to tokens. When it is full, what was met lately is kept aside for
+    one more filling."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.before = encoder, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        got = self.before.get(piece) or self.encoder.piece(piece)
+        if len(piece) <= 64:
+            if len(self) >= MOST_PIECES:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: (first token + 1) << 24 | second token: whether the two stay neighbours
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Pieces(self)
         self.edges: dict[int, tuple[list, list] | None] = {}
         # the vocabulary as a trie: (node, byte) to node, the token that ends in a node, whether a node goes on
         self.trie: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], bytearray(1)
+        self.token_at, self.goes_on, self.depth = [-1], bytearray(1), [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -62,8 +91,17 @@ class Encoder:
                     below = self.trie[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                     self.goes_on.append(0)
+                    self.depth.append(self.depth[node] + 1)
                 node = below
             self.token_at[node] = rank
+        #: of each token, the longest token that it begins with, and its length
+        self.shorter: dict[int, int] = {}
+        self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        for token, rank in ranks.items():
+            cut = len(token) - 1
+            while cut and token[:cut] not in ranks:
+                cut -= 1
+            self.shorter[rank] = ranks[token[:cut]] if cut else -1
         self.start()
 
     def start(self) -> None:
@@ -86,8 +124,8 @@ class Encoder:
         parts = [data[i : i + 1] for i in range(len(data))]
         left, right = [(parts[0], -1)], [(parts[-1], -1)]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == NEVER:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             if i == 0:
@@ -96,7 +134,7 @@ class Encoder:
                 right.append((parts[-1], rank))
         got = None
         if len(parts) == 1:
-            ends = lambda side: [(p, r, after) for (p, r), (_, after) in zip(side, [*side[1:], (b"", 1 << 60)])]
+            ends = lambda side: [(p, r, after) for (p, r), (_, after) in zip(side, [*side[1:], (b"", NEVER)])]
             got = ends(left), ends(right)
         self.edges[token] = got
         return got
@@ -105,18 +143,30 @@ class Encoder:
         """Whether the merges make the second token and leave the two apart: no
         merge across the boundary comes before the merges that take up its two
         parts. Of equal ranks the leftmost comes first."""
-        ranks, before, after = self.ranks, self.outer(one)[1] if one is not None else [], self.outer(two)
-        got = after is not None
-        if got:
-            for a, made_a, taken_a in before:
-                for b, made_b, taken_b in after[0]:
-                    if made_b < taken_a and made_a < taken_b and (r := ranks.get(a + b)) is not None and r < taken_a and r <= taken_b:
-                        got = False
+        after, got = self.outer(two), False
+        before = self.outer(one)[1] if one is not None else None
+        if after is not None:
+            got = before is None or self.apart(before, after[0])
         if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
-        self.pairs[one, two] = got
+        self.pairs[(-1 if one is None else one) + 1 << 24 | two] = got
         return got
 
+    def apart(self, before: list, after: list) -> bool:
+        """Follows the merges on both sides of a boundary in their order."""
+        ranks, i, j = self.ranks, 0, 0
+        while True:
+            (a, _, taken_a), (b, _, taken_b) = before[i], after[j]
+            r = ranks.get(a + b, NEVER)
+            if r < taken_a and r <= taken_b:
+                return False
+            if taken_a <= taken_b:
+                if taken_a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def advance(self, state: State, byte: int) -> tuple[State, tuple]:
         """Determinises one transition."""
         new, live = None, []
@@ -126,7 +176,7 @@ class Encoder:
                 continue
             t = self.token_at[below]
             if new is None and t >= 0:
-                fit = self.pairs.get((last, t))
+                fit = self.pairs.get((-1 if last is None else last) + 1 << 24 | t)
                 if self.neighbours(last, t) if fit is None else fit:
                     new = (0, t, (*pending, t))
             if self.goes_on[below]:
@@ -142,42 +192,56 @@ class Encoder:
             live = [(n, last, p[k:]) for n, last, p in live]
         return self.state(tuple(live)), oldest[:k]
 
-    def simulate(self, live: tuple, rest: bytes) -> tuple[int, ...]:
-        """The output from a state over the rest of a piece, without making
-        states: what is pending is held as links."""
-        trie, token_at, goes_on, pairs = self.trie, self.token_at, self.goes_on, self.pairs
-        now = [(node, last, (pending, None)) for node, last, pending in live]
-        for byte in rest:
-            new, after = None, []
-            for node, last, chain in now:
-                below = trie.get(node << 8 | byte)
-                if below is None:
-                    continue
-                if new is None and (t := token_at[below]) >= 0:
-                    fit = pairs.get((last, t))
-                    if self.neighbours(last, t) if fit is None else fit:
-                        new = (0, t, (chain, t))
-                if goes_on[below]:
-                    after.append((below, last, chain))
-            after.append(new)
-            now = after
-        out, chain = [], now[-1][2]
-        while chain[1] is not None:
-            out.append(chain[1])
-            chain = chain[0]
-        return (*chain[0], *reversed(out))
+    def search(self, last: int | None, data: bytes, at: int) -> list[int] | None:
+        """The tokens from a boundary to the end, if a path leads there."""
+        trie, token_at, shorter, length, pairs = self.trie, self.token_at, self.shorter, self.length, self.pairs
+        end, out, before = len(data), [], last
+        while True:
+            node, to, token = 0, at, -1
+            while to < end and (node := trie.get(node << 8 | data[to])) is not None:
+                to += 1
+                if token_at[node] >= 0:
+                    token = token_at[node]
+            while True:
+                key = (-1 if before is None else before) + 1 << 24
+                while token >= 0:
+                    fit = pairs.get(key | token)
+                    if self.neighbours(before, token) if fit is None else fit:
+                        break
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not out:
+                    return None
+                undone = out.pop()
+                at -= length[undone]
+                token, before = shorter[undone], out[-1] if out else last
+            out.append(token)
+            at += length[token]
+            if at == end:
+                return out
+            before = token
+
+    def finish(self, state: State, data: bytes, at: int) -> tuple[int, ...]:
+        """The output from a state over the rest of a piece, without making states."""
+        for node, last, pending in state.live:
+            got = self.search(last, data, at - self.depth[node])
+            if got is not None:
+                return (*pending, *got)
+        raise ValueError("the vocabulary lacks a byte")
 
     def transduce(self, data: bytes) -> tuple[int, ...]:
         """Runs as far as transitions are made. One that is met for the first
-        time is only noted, and the piece is finished by simulation; the second
-        time it is made. So states are for what recurs."""
+        times is only counted, and the piece is finished by search; then it is
+        made. So states are for what recurs."""
         state, out = self.first, []
         for at, byte in enumerate(data):
             go = state.step.get(byte)
             if go is None:
-                if not state.met >> byte & 1:
-                    state.met |= 1 << byte
-                    return (*out, *self.simulate(state.live, data[at:]))
+                met = state.met[byte] = state.met.get(byte, 0) + 1
+                if met < RECURS:
+                    return (*out, *self.finish(state, data, at))
+                del state.met[byte]
                 go = state.step[byte] = self.advance(state, byte)
             state, emitted = go
             if emitted:
@@ -187,19 +251,11 @@ class Encoder:
     def piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        got = (whole,) if whole is not None else self.transduce(data)
-        if len(piece) <= 64:
-            if len(self.pieces) >= MOST_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        return (whole,) if whole is not None else self.transduce(data)
 
     def encode(self, text: str) -> array:
-        out, known = array("I"), self.pieces
         pieces = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
-        for p in pieces:
-            out.extend(known.get(p) or self.piece(p))
-        return out
+        return array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
 
 #: Of a lead byte: how many bytes follow, and the range of the first of them.
@@ -271,13 +327,24 @@ class Decoder:
         return "".join(out)
 
 
+encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(shared, path: str, pattern: str) -> Encoder:
+    """One in each worker process: its tables stay filled for later tasks."""
+    if (path, pattern) not in encoders:
+        encoders.clear()
+        encoders[path, pattern] = Encoder(shared.value, pattern)
+    return encoders[path, pattern]
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds ids: the tokens as little-endian unsigned 32-bit integers. Null and
     empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a file of fixed size
 
     def make():
-        encoder = Encoder(shared.value, pattern)
+        encoder = encoder_of(shared, path, pattern)
         return lambda batch: [pa.array([encoder.encode(t or "").tobytes() for t in batch.column(text).to_pylist()], pa.binary())]
 
     return appended(docs, [StructField("ids", BinaryType())], make)

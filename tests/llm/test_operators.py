@@ -308,11 +308,24 @@ def test_utf8_machine(ranks):
 
 def test_transducer_forgets_states(ranks, monkeypatch):
     monkeypatch.setattr(bpe, "MOST_STATES", 20)
+    monkeypatch.setattr(bpe, "RECURS", 1)
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     t = "qwertzuiopasdfghjkl" * 50
     assert list(bpe.Encoder(ranks, P.PATTERN).encode(t)) == theirs.encode_ordinary(t)
 
 
+def test_tables_that_overflow(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_PIECES", 7)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 5)
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine, rng = bpe.Encoder(ranks, P.PATTERN), random.Random(5)
+    words = ["".join(rng.choice("aeirstñ中") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    for _ in range(200):
+        t = " ".join(rng.choices(words, k=12))
+        assert list(mine.encode(t)) == theirs.encode_ordinary(t)
+    assert len(mine.pieces) <= 7 and len(mine.pieces.before) <= 7 and len(mine.pairs) <= 5
+
+
 @pytest.mark.parametrize("cell", [sharding.CELL, 3])
 def test_sharding(spark, docs, rows, none, cell):
     got = sharding.shuffled(docs.select("doc_id", "text", F.lit("z").alias("slot")), 16, cell=cell).collect()
