@@ -60,6 +60,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Keys with one row in so many, or more, are dealt over several tasks if they have DEALT rows at least.
+HOT_KEYS, DEALT = 1024, 256
+
+
+def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+    """Rows joined to the class of their key. ``classes`` is a written table
+    with one row for each key and, in ``n``, the number of rows that have it.
+    Rows of a hot key are dealt by a hash of ``spread`` to copies of its class.
+    As the ``n`` add up to all rows, no more than HOT_KEYS keys can be hot; only
+    these are broadcast. Adds __deal: rows of equal key and spread have one."""
+    share = max((classes.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS + 1, DEALT)
+    deals = F.ceil(F.col(n) / share).cast("int")
+    hot = classes.where(F.col(n) > share).select(key, deals.alias("__deals"))
+    own = F.pmod(F.coalesce(F.xxhash64(spread), F.lit(0)), F.coalesce("__deals", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", own).drop("__deals")
+    copies = classes.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1)))
+    return dealt.join(copies, [key, "__deal"])
+
+
 def octets(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if len(column) else []
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import octets, small_batches, table
+from .common import joined_to_classes, octets, small_batches, table, written
 
 #: Bytes of contents and payloads that a table may hold.
 BUDGET = 64 << 20
@@ -166,10 +166,10 @@ def verdicts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     doc_id is smaller than any, so keep_id is null only where all ids of a group
     are. Of rows that repeat both the text and that doc_id, one is kept."""
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.col("doc_id").cast("long").alias("best"), F.lit(b"").alias("payload"))
-    groups = classes(rows, budget).select("sha", F.col("best").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = written(classes(rows, budget).select("sha", F.col("best").alias("keep_id"), F.col("n").alias("group_size")), "classes")
     members = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
-    same = Window.partitionBy("sha", "doc_id").orderBy("doc_id")
-    return members.join(groups, "sha").select(
+    same = Window.partitionBy("sha", "__deal", "doc_id").orderBy("doc_id")
+    return joined_to_classes(members, groups, "sha", "group_size", "doc_id").select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
