@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .common import ASCII_LOWER, appended, octets, small_batches, table, written
+from .common import ASCII_LOWER, appended, joined_to_classes, octets, small_batches, table, written
 
 BITS, DISTANCE, SEGMENTS = 64, 4, 5
 SHINGLE = 4
@@ -212,12 +212,12 @@ def groups(docs: DataFrame, block: int = BLOCK, level: int | None = None) -> Dat
     texts have the fingerprint 0 and are linked like any other. component_id is
     the smallest non-null doc_id of the component, null if it has none."""
     fps = written(fingerprints(docs), "fingerprints")
-    one = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    one = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("__n")), "distinct")
     roots = written(components(links(one.select("fp"), block, level)), "roots")
     merged = one.join(roots, one.fp == roots.v).groupBy("root").agg(F.min("first").alias("component_id"))
     named = one.join(roots.join(merged, "root").select(F.col("v").alias("fp"), "component_id"), "fp", "left")
-    named = named.select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.drop("component_id").join(named, "fp")
+    named = written(named.select("fp", "__n", F.coalesce("component_id", "first").alias("component_id")), "named")
+    return joined_to_classes(fps.drop("component_id"), named, "fp", "__n", "doc_id").drop("__n", "__deal")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

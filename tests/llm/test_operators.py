@@ -17,7 +17,7 @@ import public_tokenizers as P
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
-from stockfold.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, quality, sharding, simhash, urls
+from stockfold.llm import bpe, chat, common, decontaminate, exact_dedup, langid, lm, quality, sharding, simhash, urls
 from stockfold.llm.common import remainder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -101,6 +101,20 @@ def test_exact(spark, docs, rows, none, budget):
     assert exact_dedup.verdicts(none).count() == exact_dedup.survivors(none).count() == 0
 
 
+def test_hot_groups_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "DEALT", 3)
+    rows = [(i, "one two three four five six" if i % 3 == 0 else f"text {i} is alone {i * i}") for i in range(90)]
+    rows += [(None, "one two three four five six"), (0, "one two three four five six"), (87, "one two three four five six"), (87, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.verdicts(docs).collect()
+    hot = [r for r in got if r.group_size > 1]
+    assert len(got) == len(rows) and len(hot) == 34 and {r.keep_id for r in hot} == {87} and {r.group_size for r in hot} == {34}
+    assert [r.doc_id for r in hot if r.kept] == [87] and sum(r.kept for r in got) == 61
+    near = simhash.groups(docs).collect()
+    assert len(near) == len(rows) and sum(r.component_id == 0 for r in near) == 34
+    assert set(simhash.groups(docs).columns) == {"doc_id", "fp", "component_id"}
+
+
 def test_spill_files_go(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     b, rng = exact_dedup.Bucket(4000), random.Random(1)
