@@ -34,7 +34,7 @@ from .common import appended, table
 #: Entries of a table before it is emptied.
 MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 200_000, 400_000
 #: Times that a transition is met before it is made.
-RECURS = 32
+RECURS = 8
 LONG = 1 << 20
 NEVER = 1 << 60
 
