@@ -26,7 +26,6 @@ SHARDS = 16
 CELL = 1 << 16
 #: Input partitions at most: the vector of their counts is broadcast.
 MOST_PARTITIONS = 100_000
-EXACT = 900_000_000
 
 
 def cells(total: int, shards: int, cell: int) -> list[tuple[int, int, int]]:
@@ -41,21 +40,21 @@ def cells(total: int, shards: int, cell: int) -> list[tuple[int, int, int]]:
 
 
 def split(rng: np.random.Generator, colors: np.ndarray, sample: int) -> np.ndarray:
-    """How many of each color are among ``sample`` drawn without return. Beyond
-    EXACT things numpy can't draw exactly; there a normal approximation, held
-    to what is possible, keeps the sums exact."""
-    if colors.sum() < EXACT:
-        return rng.multivariate_hypergeometric(colors, sample, method="marginals")
-    out, left, rest = np.zeros_like(colors), int(sample), int(colors.sum())
-    for k, c in enumerate(map(int, colors)):
-        if rest < EXACT:
-            x = int(rng.hypergeometric(c, rest - c, left)) if left and rest else 0
-        else:
-            p = c / rest
-            x = round(rng.normal(left * p, (left * p * (1 - p) * (rest - left) / max(1, rest - 1)) ** 0.5))
-        x = min(max(x, left - (rest - c), 0), c, left)
-        out[k], left, rest = x, left - x, rest - c
-    return out
+    """How many of each color are among ``sample`` things drawn without return,
+    of any number of things. Each thing is first taken with one probability, on
+    its own, so the binomials do not depend on each other; then as many as are
+    too few or too many, drawn from the rest or from the taken, come or go. As
+    no step prefers a thing, every set of ``sample`` things is equally likely,
+    which is the multivariate hypergeometric law."""
+    total = int(colors.sum())
+    taken = rng.binomial(colors, sample / total) if total else np.zeros_like(colors)
+    lack = sample - int(taken.sum())
+    if lack:
+        ends = np.cumsum(colors - taken if lack > 0 else taken)
+        drawn = rng.choice(int(ends[-1]), abs(lack), replace=False, shuffle=False)
+        moved = np.bincount(np.searchsorted(ends, drawn, side="right"), minlength=len(colors))
+        taken += moved if lack > 0 else -moved
+    return taken
 
 
 def row_of_matrix(counts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -> np.ndarray:
