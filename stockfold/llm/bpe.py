@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -54,15 +53,15 @@ class State:
 
 
 class Pieces(dict):
-    """Pieces to tokens. When it is full, what was met lately is kept aside for
-    one more filling."""
+    """Pieces to tokens, packed as in ids. When it is full, what was met lately
+    is kept aside for one more filling."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder, self.before = encoder, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        got = self.before.get(piece) or self.encoder.piece(piece)
+    def __missing__(self, piece: str) -> bytes:
+        got = self.before.get(piece) or array("I", self.encoder.piece(piece)).tobytes()
         if len(piece) <= 64:
             if len(self) >= MOST_PIECES:
                 self.before = dict(self)
@@ -255,7 +254,9 @@ class Encoder:
 
     def encode(self, text: str) -> array:
         pieces = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
-        return array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        ids = array("I")
+        ids.frombytes(b"".join(map(self.pieces.__getitem__, pieces)))
+        return ids
 
 
 #: Of a lead byte: how many bytes follow, and the range of the first of them.
