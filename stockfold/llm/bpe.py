@@ -328,27 +328,47 @@ class Decoder:
         return "".join(out)
 
 
-encoders: dict[tuple[str, str], Encoder] = {}
+coders: dict[type, tuple[tuple, Encoder | Decoder]] = {}
 
 
-def encoder_of(shared, path: str, pattern: str) -> Encoder:
-    """One in each worker process: its tables stay filled for later tasks."""
-    if (path, pattern) not in encoders:
-        encoders.clear()
-        encoders[path, pattern] = Encoder(shared.value, pattern)
-    return encoders[path, pattern]
+def coder_of(kind: type, shared, path: str, *more: str):
+    """One of each kind in a worker process: its tables stay filled for later tasks."""
+    key = (path, *more)
+    if kind not in coders or coders[kind][0] != key:
+        coders.pop(kind, None)
+        coders[kind] = key, kind(shared.value, *more)
+    return coders[kind][1]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ids: the tokens as little-endian unsigned 32-bit integers. Null and
-    empty texts have none."""
+def unpacked(data: bytes | None) -> array:
+    ids = array("I")
+    ids.frombytes(data or b"")
+    return ids
+
+
+IDS, DECODED = StructField("ids", BinaryType()), StructField("decoded", StringType())
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, back: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ids: the tokens as little-endian unsigned 32-bit integers; with
+    ``back`` decoded too, in the same worker. Null and empty texts have none.
+    Columns in ``drop`` are not returned."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a file of fixed size
 
     def make():
-        encoder = encoder_of(shared, path, pattern)
-        return lambda batch: [pa.array([encoder.encode(t or "").tobytes() for t in batch.column(text).to_pylist()], pa.binary())]
+        encoder = coder_of(Encoder, shared, path, pattern)
+        decoder = coder_of(Decoder, shared, path) if back else None
 
-    return appended(docs, [StructField("ids", BinaryType())], make)
+        def each(batch: pa.RecordBatch) -> list:
+            ids = [encoder.encode(t or "").tobytes() for t in batch.column("text").to_pylist()]
+            out = [pa.array(ids, pa.binary())]
+            if back:
+                out.append(pa.array([decoder.decode(unpacked(x)) for x in ids], pa.string()))
+            return out
+
+        return each
+
+    return appended(docs, [IDS, DECODED] if back else [IDS], make, drop)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -356,23 +376,17 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():
-        decoder = Decoder(shared.value)
-
-        def one(data):
-            ids = array("I")
-            ids.frombytes(data or b"")
-            return decoder.decode(ids)
-
-        return lambda batch: [pa.array([one(x) for x in batch.column("ids").to_pylist()], pa.string())]
+        decoder = coder_of(Decoder, shared, path)
+        return lambda batch: [pa.array([decoder.decode(unpacked(x)) for x in batch.column("ids").to_pylist()], pa.string())]
 
-    return appended(rows, [StructField("decoded", StringType())], make)
+    return appended(rows, [DECODED], make)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = decoded(encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    rows = encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, back=True, drop=("text",))
     return rows.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -310,6 +310,9 @@ def test_bpe(spark, docs, rows, none, ranks):
     for r in got:
         assert r.ids == np.array(theirs.encode_ordinary(r.text or ""), "<u4").tobytes() and r.decoded == (r.text or "")
     assert len(got) == len(rows) and bpe.digests(none).count() == 0
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(str(r.doc_id), len(r.ids) // 4, sha(r.ids), sha(r.decoded.encode())) for r in bpe.encoded(docs, path, P.PATTERN, back=True).collect()]
+    assert sorted((str(r.doc_id), *r[1:]) for r in bpe.digests(docs).collect()) == sorted(want)
 
 
 def test_utf8_machine(ranks):
