@@ -136,6 +136,12 @@ def q_history(spark, sf_dir):
     return ledger.last_wins(redelivered(spark, sf_dir), "sequence").select(FIELDS)
 
 
+@query(f"SELECT pos, k.operation_id, CASE WHEN l1.sequence >= {SPLIT} THEN 0 WHEN l1.sequence IS NOT NULL THEN 1 END AS tier, {PAY} FROM (VALUES {values(IDS)}) k(pos, operation_id) LEFT JOIN l1 ON l1.operation_id = k.operation_id", "l1")
+def q_first_found(spark, sf_dir):
+    rows = clean(spark, sf_dir)
+    return reads.first_found(rows_of(spark, IDS, "pos int, operation_id string"), [rows.where(F.col("sequence") >= SPLIT), rows.where(F.col("sequence") < SPLIT)])
+
+
 # ---- deduplication and conflicts ------------------------------------------
 
 
@@ -322,6 +328,23 @@ LINES = [
 ]
 
 
+@query("SELECT CAST(floor(sequence / 100.0) AS BIGINT) AS line, count(*) OVER w AS batch_size, row_number() OVER (w ORDER BY sequence) - 1 AS pos, operation_id, owner_id, sku, delta, event_version FROM l1 WINDOW w AS (PARTITION BY floor(sequence / 100.0))", "l1")
+def q_json_batches(spark, sf_dir):
+    got = files.parse_batches(files.batch_lines(clean(spark, sf_dir), "sequence", 100)).where("reason is null")
+    return got.select("line", F.col("batch_size").cast("long").alias("batch_size"), F.col("pos").cast("long").alias("pos"), *FIELDS)
+
+
+@query("""SELECT sequence, concat('operations-', sha256(operation_id)) AS message_id, concat('ledger-', sequence) AS dead_letter_id, printf('%.9f', sequence / 1e9) AS seconds,
+    sequence * 1024 AS bytes, lower(hex(sku)) AS sku_hex, CASE WHEN delta < 0 THEN 'issue' ELSE 'receipt' END AS kind, delta / nullif(sequence % 3, 0) AS ratio FROM l1""", "l1")
+def q_scalars(spark, sf_dir):
+    seq = F.col("sequence")
+    return clean(spark, sf_dir).select(
+        "sequence", F.concat(F.lit("operations-"), F.sha2("operation_id", 256)).alias("message_id"), F.concat(F.lit("ledger-"), seq).alias("dead_letter_id"),
+        F.format_string("%.9f", seq / F.lit(1e9)).alias("seconds"), F.try_multiply(seq, F.lit(1024)).alias("bytes"), F.lower(F.hex("sku")).alias("sku_hex"),
+        F.when(F.col("delta") < 0, "issue").otherwise("receipt").alias("kind"), F.try_divide(F.col("delta"), seq % 3).alias("ratio"),
+    )
+
+
 @query()
 def q_decode_cascade(spark, sf_dir):
     return files.decode(rows_of(spark, LINES, "sequence long, value string")).select("sequence", "record_type", "epoch", F.size("operations").alias("n_ops"))
@@ -372,6 +395,33 @@ def q_alerts(spark, sf_dir):
     return observe.alerts(samples(spark, sf_dir), "HighValue", "instance", "us", "event_id", F.col("value") > 50, 5)
 
 
+@query("SELECT CAST(floor(us / 3600000000.0) AS BIGINT) AS hour, CAST(sum(is_error) AS BIGINT) AS errors, max(value) AS max_value, count(DISTINCT instance) AS instances FROM l6 GROUP BY 1", "l6")
+def q_across_instances(spark, sf_dir):
+    hour = F.floor(F.col("us") / 3_600_000_000).cast("long").alias("hour")
+    return samples(spark, sf_dir).groupBy(hour).agg(F.sum("is_error").alias("errors"), F.max("value").alias("max_value"), F.count_distinct("instance").alias("instances"))
+
+
+#: Invented metrics of the samples, so that each alert rule has something to hold on to.
+SIGNALS = {
+    "up": "min(is_error)", "quorum_available": "1 - max(is_error)", "writer_lease_owned": "max(event_id % 3)", "replication_lag": "max(event_id % 11)",
+    "history_lag": "max(event_id % 2)", "unavailable_rate": "max(is_error)", "process_memory_bytes": "max(event_id % 5) * 536870912",
+    "stream_bytes": "max(event_id % 100)", "stream_max_bytes": "max(100 * (event_id % 50 > 0)::int)",
+}
+
+
+def _rule(name: str, condition: str, hold: int) -> str:
+    condition = condition.replace("try_divide(stream_bytes, stream_max_bytes)", "stream_bytes / nullif(stream_max_bytes, 0)")
+    return f"""SELECT '{name}' AS alert, instance, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
+        SELECT *, sum(CASE WHEN "on" THEN 0 ELSE 1 END) OVER (PARTITION BY instance ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce({condition}, false) AS "on" FROM m))
+        WHERE "on" GROUP BY instance, island HAVING max(us) - min(us) >= {hold * 1_000_000}"""
+
+
+@query("SELECT * FROM (WITH m AS (SELECT instance, us, " + ", ".join(f"{e} AS {n}" for n, e in SIGNALS.items()) + " FROM l6 GROUP BY instance, us) " + " UNION ALL ".join(_rule(*r) for r in observe.RULES) + ")", "l6")
+def q_rule_alerts(spark, sf_dir):
+    metrics = samples(spark, sf_dir).groupBy("instance", "us").agg(*(F.expr(e).alias(n) for n, e in SIGNALS.items()))
+    return observe.rule_alerts(metrics)
+
+
 METRICS = f"""SELECT 'balance_positions' AS metric, (SELECT count(*) FROM (SELECT DISTINCT owner_id, sku FROM l4 WHERE {FENCED})) AS value
     UNION ALL SELECT 'history_entries', (SELECT count(*) FROM l4 WHERE {FENCED}) UNION ALL SELECT 'stream_messages', (SELECT count(*) FROM l4)
     UNION ALL SELECT 'dead_letters', (SELECT count(*) FROM l4 WHERE {DEAD}) UNION ALL SELECT 'writer_epoch', (SELECT max(active) FROM l4)
@@ -396,6 +446,11 @@ def q_metrics(spark, sf_dir):
     return observe.exposition(q_cardinality(spark, sf_dir))
 
 
+@query(f"SELECT metric, CAST(value AS DOUBLE) AS value FROM ({METRICS})", "l4")
+def q_parse_metrics(spark, sf_dir):
+    return observe.parse(q_metrics(spark, sf_dir))
+
+
 # ---- generators -----------------------------------------------------------
 
 

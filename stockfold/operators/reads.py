@@ -39,6 +39,24 @@ def operations_batch(history: DataFrame, ids: DataFrame) -> DataFrame:
     return in_order(ids, history, ["operation_id"], "inner").select("pos", *FIELDS).orderBy("pos")
 
 
+def first_found(keys: DataFrame, tiers: list[DataFrame]) -> DataFrame:
+    """For each key (pos, operation_id) the operation in the first tier that has
+    it, with the tier's number; all null if none has. Ids are unique in a tier."""
+    both = None
+    for k, tier in enumerate(tiers):
+        rows = tier.select(*FIELDS, F.lit(k).alias("tier"))
+        both = rows if both is None else both.unionByName(rows)
+    hits = in_order(keys, both, ["operation_id"], "left").groupBy("pos", "operation_id")
+    return hits.agg(F.min_by(F.struct("tier", *FIELDS[1:]), "tier").alias("r")).select("pos", "operation_id", "r.*").orderBy("pos")
+
+
+def require_complete(history: DataFrame, checkpoint: int) -> None:
+    """Refuses a read of a history that is behind the balances' checkpoint."""
+    reached = history.agg(F.max("sequence")).first()[0]
+    if reached is None or reached < checkpoint:
+        raise RuntimeError(f"the history is at {reached}, behind the checkpoint {checkpoint}")
+
+
 def page(history: DataFrame, by: Column | None = None, cursor: str | None = None, limit: int | None = None) -> DataFrame:
     """Operations after ``cursor`` in id order: of all (10,000 by default and at
     most) or, with ``by``, of an owner or SKU (100, 1,000 at most)."""

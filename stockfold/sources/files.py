@@ -52,18 +52,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return decode(raw, "record").select(LOG_RECORD.names)
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One request batch a line: line, pos, the operation and its reason if invalid."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+def parse_batches(lines: DataFrame) -> DataFrame:
+    """Request batches (line, value) by element: line, batch_size, pos, the
+    operation and its reason if invalid."""
     ops = versioned(F.from_json("value", f"array<{OPERATION.simpleString()}>"))
     rows = lines.select("line", F.size(ops).alias("batch_size"), F.posexplode(ops).alias("pos", "o")).select("line", "batch_size", "pos", "o.*")
     return rows.withColumn("reason", reason())
 
 
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """One request batch a line of text."""
+    return parse_batches(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
+def batch_lines(ops: DataFrame, by: str, batch: int) -> DataFrame:
+    """Operations in the order of ``by``, ``batch`` to a JSON line: line, value."""
+    groups = ops.groupBy(F.floor(F.col(by) / batch).alias("line")).agg(F.sort_array(F.collect_list(F.struct(by, *FIELDS))).alias("o"))
+    return groups.select("line", F.to_json(F.transform("o", lambda o: F.struct(*(o[n].alias(n) for n in FIELDS)))).alias("value"))
+
+
 def write_batches(ops: DataFrame, path: str, batch: int = 1000) -> None:
     """Operations by ``i`` as JSON lines of ``batch`` each."""
-    groups = ops.groupBy(F.floor(F.col("i") / batch).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", *FIELDS))).alias("o"))
-    groups.select(F.to_json(F.transform("o", lambda o: F.struct(*(o[n].alias(n) for n in FIELDS)))).alias("value")).write.text(path)
+    batch_lines(ops, "i", batch).select("value").write.text(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -120,6 +120,14 @@ def test_pages(spark):
         reads.page(rows, F.col("owner_id") == "o", limit=1001)
 
 
+def test_history_behind(spark):
+    rows = catalog.clean(spark, SF)
+    reads.require_complete(rows, 900)
+    for behind, checkpoint in ((rows, 10**9), (rows.limit(0), 0)):
+        with pytest.raises(RuntimeError):
+            reads.require_complete(behind, checkpoint)
+
+
 def test_percentiles_are_elements(spark):
     rng = random.Random(3)
     rows = [(k, rng.randrange(9)) for k in "abc" for _ in range(rng.randint(1, 40))]
