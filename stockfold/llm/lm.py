@@ -28,8 +28,6 @@ from .common import ASCII_LOWER, octets, release, remainder, small_batches, tabl
 
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
-HASH_BYTES = 5
-HASH_BITS = 8 * HASH_BYTES
 END, BEGIN = 0, 1
 ROWS = "kind string, part int, block long, payload binary"
 
@@ -43,7 +41,12 @@ class Words(dict):
 
 
 def hash_of(word: bytes) -> int:
-    return max(2, xxhash.xxh3_64_intdigest(word) >> (64 - HASH_BITS))
+    return max(2, xxhash.xxh3_64_intdigest(word))
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Parts by the upper half of the hash, so in the order of the hashes."""
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 def mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ class Asked:
         self.order = np.lexsort((second, first, owner))
         self.first, self.second = first[self.order], second[self.order]
         self.cut = np.searchsorted(owner[self.order], np.arange(parts + 1, dtype=np.uint64))
-        self.word_cut = np.searchsorted(block.hashes * np.uint64(parts) >> np.uint64(HASH_BITS), np.arange(parts + 1, dtype=np.uint64))
+        self.word_cut = np.searchsorted(part_of(block.hashes, parts), np.arange(parts + 1, dtype=np.uint64))
         train, n = np.unique(keys[block.train], return_counts=True)
         self.n = np.zeros(len(self.keys), np.int64)
         self.n[np.searchsorted(self.keys, train)] = n
@@ -208,7 +211,7 @@ def add_bigrams(rows: pa.Table, parts: int) -> pa.Table:
         before, after = role[: len(first)], role[len(first) :]
         sums = [np.bincount(before, w, minlength=len(words)) for w in (count, count == 1, count == 2, count >= 3)] if len(words) else [np.zeros(0)] * 4
         sums.append(np.bincount(after, minlength=len(words)))
-        cut = np.searchsorted(words * np.uint64(parts) >> np.uint64(HASH_BITS), np.arange(parts + 1, dtype=np.uint64))
+        cut = np.searchsorted(part_of(words, parts), np.arange(parts + 1, dtype=np.uint64))
         for p in range(parts):
             a, b = cut[p : p + 2]
             if b > a:

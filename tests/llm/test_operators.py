@@ -214,6 +214,17 @@ def test_language_model(spark, docs, rows, none):
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in untaught)
 
 
+def test_words_of_near_hashes(spark):
+    """Two pairs of words whose 64-bit hashes have the upper 40 bits in common."""
+    pairs = [("w160904", "w796784"), ("w1204313", "w2056576")]
+    assert all(xxhash.xxh3_64_intdigest(a) >> 24 == xxhash.xxh3_64_intdigest(b) >> 24 for a, b in pairs)
+    rows = [(0, f"{pairs[0][0]} {pairs[1][0]} {pairs[1][1]}", False), (1, pairs[0][1], True)]
+    got = {r.doc_id: r for r in lm.perplexities(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert (got[0].n_known, got[1].n_known) == (4, 1)  # with the end
+    v, n = 4, 4
+    assert got[1].base_score == pytest.approx(math.log10(0.5 / (n + 0.5 * (v + 1))) + math.log10(1.5 / (n + 0.5 * (v + 1))))
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     good = [(i, ". ".join(" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(rng.randint(2, 80))), 1) for i in range(120)]
