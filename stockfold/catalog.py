@@ -215,6 +215,36 @@ def q_batch_conflicts(spark, sf_dir):
     return ledger.batch_conflicts(rows.where("owner_id like 'supp-1%'"), rows.where("owner_id like 'supp-2%'"))
 
 
+REQUESTS = f"""SELECT CAST(floor(sequence / 100) AS BIGINT) AS batch, sequence % 100 AS pos, {OPS} FROM l1
+    UNION ALL SELECT CAST(floor(sequence / 100) AS BIGINT), sequence % 100 + 100, {OPS} FROM l1 WHERE sequence % 10 = 0
+    UNION ALL SELECT CAST(floor(sequence / 100) AS BIGINT) + 1, sequence % 100 + 200, {OPS} FROM l1 WHERE sequence % 10 = 5"""
+
+
+def requests(spark, sf_dir):
+    """The whole clean ledger in batches of 100. Every tenth row comes a second
+    time in its batch, every tenth (the fifth) in the batch after it."""
+    rows = clean(spark, sf_dir).select(F.floor(F.col("sequence") / 100).cast("long").alias("batch"), (F.col("sequence") % 100).alias("pos"), *FIELDS)
+    again = rows.where("pos % 10 = 0").withColumn("pos", F.col("pos") + 100)
+    later = rows.where("pos % 10 = 5").withColumn("batch", F.col("batch") + 1).withColumn("pos", F.col("pos") + 200)
+    return rows.unionByName(again).unionByName(later)
+
+
+@query(f"""SELECT batch, pos, {OPS}, status, CAST(
+        coalesce(sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        + CASE WHEN status = 'applied' THEN sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku, batch ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS balance
+    FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY operation_id ORDER BY batch, pos) = 1 THEN 'applied' ELSE 'duplicate' END AS status FROM ({REQUESTS}))""", "l1")
+def q_batch_classify_all(spark, sf_dir):
+    return ledger.classify_all(requests(spark, sf_dir))
+
+
+@query(f"""SELECT DISTINCT a.batch, a.operation_id FROM (SELECT *, CAST(substr(owner_id, 6) AS BIGINT) AS batch FROM l2) a
+    JOIN (SELECT *, CAST(substr(owner_id, 6) AS BIGINT) AS batch FROM l2) b ON a.operation_id = b.operation_id AND b.batch <= a.batch
+    WHERE {" OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in PAYLOAD)}""", "l2")
+def q_batch_conflicts_all(spark, sf_dir):
+    """The rows of each owner are a batch, in the order of the owners' numbers."""
+    return ledger.batch_conflicts_of_all(conflicting(spark, sf_dir).withColumn("batch", F.substring("owner_id", 6, 20).cast("long")))
+
+
 # ---- the log --------------------------------------------------------------
 
 FENCED = "record_type = 'operations' AND epoch = active"

@@ -81,6 +81,28 @@ def classify(batch: DataFrame, seen: DataFrame, state: DataFrame) -> DataFrame:
     return rows.withColumn("balance", balance).select("pos", *FIELDS, "status", "balance")
 
 
+def batch_conflicts_of_all(ops: DataFrame) -> DataFrame:
+    """For every batch of a ledger (batch, operation) the ids for which it has
+    to be rejected, if all rows of the batches before it are seen: those with
+    several payloads up to and with the batch."""
+    w = Window.partitionBy("operation_id").orderBy("batch").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ops.select("batch", "operation_id", F.struct(*PAYLOAD).alias("_p")).distinct()
+    return rows.withColumn("_low", F.min("_p").over(w)).withColumn("_high", F.max("_p").over(w)).where("_low <> _high").select("batch", "operation_id").distinct()
+
+
+def classify_all(ops: DataFrame) -> DataFrame:
+    """As ``classify``, for all batches of a ledger (batch, pos, operation) at
+    once, each against all batches before it. All batches are accepted ones."""
+    first = F.row_number().over(Window.partitionBy("operation_id").orderBy("batch", "pos")) == 1
+    rows = ops.withColumn("status", F.when(first, "applied").otherwise("duplicate"))
+    delta = F.when(F.col("status") == "applied", F.col("delta")).otherwise(0)
+    w = Window.partitionBy("owner_id", "sku").orderBy("batch")
+    before = F.coalesce(F.sum(delta).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    added = F.sum(delta).over(Window.partitionBy("owner_id", "sku", "batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    balance = before + F.when(F.col("status") == "applied", added).otherwise(0)
+    return rows.withColumn("balance", balance).select("batch", "pos", *FIELDS, "status", "balance")
+
+
 def in_order(keys: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Positional lookup: ``keys`` (pos, key columns) is a request of MOST_BATCH
     rows at most, which is checked, so it is broadcast."""

@@ -176,3 +176,25 @@ def test_log_conflicts(spark):
     log = spark.createDataFrame(rows, f"sequence long, record_type string, epoch long, {OP}")
     assert [tuple(r) for r in replay.log_conflicts(log).collect()] == [(2, "a")]
     assert ledger.balances(replay.replay(log).drop("balance")).first().balance == 1
+
+
+def test_every_batch_is_classified(spark):
+    rows = catalog.requests(spark, SF).collect()
+    assert {r.operation_id for r in rows} == {f"evt-{r.event_id}" for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
+    seen, balances, want = set(), {}, []
+    for batch in sorted({r.batch for r in rows}):
+        before = dict(balances)
+        for r in sorted((r for r in rows if r.batch == batch), key=lambda r: r.pos):
+            new, at = r.operation_id not in seen, (r.owner_id, r.sku)
+            seen.add(r.operation_id)
+            if new:
+                balances[at] = balances.get(at, 0) + r.delta
+            want.append((batch, r.pos, r.operation_id, "applied" if new else "duplicate", (balances if new else before).get(at, 0)))
+    got = catalog.QUERIES["q_batch_classify_all"](spark, SF)
+    assert sorted(map(tuple, got.select("batch", "pos", "operation_id", "status", "balance").collect())) == sorted(want)
+
+
+def test_every_batch_is_searched_for_conflicts(spark):
+    rows = [(0, "a", 1), (0, "a", 1), (0, "b", 1), (0, "b", 2), (1, "a", 1), (2, "a", 2), (3, "a", 1), (3, "c", 5), (4, "d", 1)]
+    ops = spark.createDataFrame([(n, i, "o", "s", d, 1) for n, i, d in rows], "batch long, " + OP)
+    assert sorted(map(tuple, ledger.batch_conflicts_of_all(ops).collect())) == [(0, "b"), (2, "a"), (3, "a")]
