@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField
 
-from .common import appended, octets, small_batches, table
+from .common import appended, octets, small_batches, table, written
 
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: A word is in the dictionary if it makes up this share of all words, so there are 1 / SHARE words at most.
-SHARE = 1e-5
 LONGEST = 24
 BUCKETS = 1 << 14
 SMOOTH = 0.5
@@ -49,8 +47,22 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("verdict", verdict)
 
 
-def dictionary(pages: DataFrame, share: float = SHARE) -> dict[str, float]:
-    """Log probabilities of the words of all pages' visible texts."""
+def substrings(pages: DataFrame) -> DataFrame:
+    """What can be a word of a host: the substrings of the distinct hosts' letter runs."""
+
+    def cut(batches):
+        for batch in batches:
+            for host in batch.column(0).to_pylist():
+                runs = [r for label in host.split(".") for r in RUNS.findall(label) if not r.isdigit()]
+                own = {r[i:j] for r in runs for i in range(len(r)) for j in range(i + 1, min(len(r), i + LONGEST) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["word"])
+
+    return pages.select("host").distinct().mapInArrow(cut, "word string").distinct()
+
+
+def dictionary(pages: DataFrame, hosts: DataFrame) -> tuple[dict[str, float], float]:
+    """Log probabilities of the words of all pages' visible texts, as far as a
+    host has them, and that of the rarest of all words. All words stay in a table."""
     small_batches(pages.sparkSession)
 
     def count(batches):
@@ -68,19 +80,21 @@ def dictionary(pages: DataFrame, share: float = SHARE) -> dict[str, float]:
         kept.append(("", sum(sums.values())))  # the total
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept]), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    counts = pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
     total = (counts.where("word = ''").agg(F.sum("n")).first()[0]) or 0
-    kept = counts.where((F.col("word") != "") & (F.col("n") >= share * total) & (F.length("word") <= LONGEST)).collect()
-    return {w: math.log(n / total) for w, n in kept}
+    words = counts.where((F.col("word") != "") & (F.length("word") <= LONGEST))
+    rarest = words.agg(F.min("n")).first()[0]
+    kept = words.join(substrings(hosts), "word", "left_semi").toLocalIterator()
+    return {w: math.log(n / total) for w, n in kept}, math.log(rarest / total) if rarest else -1.0
 
 
 class Segmenter:
     """Best words of a letter run; what the dictionary lacks costs by its length."""
 
-    def __init__(self, words: dict[str, float]):
+    def __init__(self, words: dict[str, float], rarest: float | None = None):
         self.words, self.known = words, {}
         self.longest = max(map(len, words), default=1)
-        self.unknown = min(words.values(), default=-1.0) - 1.0
+        self.unknown = (min(words.values(), default=-1.0) if rarest is None else rarest) - 1.0
 
     def split(self, run: str) -> list[str]:
         got = self.known.get(run)
@@ -116,12 +130,12 @@ def bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode()) % BUCKETS
 
 
-def fit(judged: DataFrame, words: dict[str, float]):
+def fit(judged: DataFrame, words: tuple[dict[str, float], float]):
     """Naive Bayes from the pages that have a verdict: log odds of a block, prior and by bucket."""
     shared = judged.sparkSession.sparkContext.broadcast(words)
 
     def count(batches):
-        segmenter, sums = Segmenter(shared.value), np.zeros((2, BUCKETS + 1), np.int64)
+        segmenter, sums = Segmenter(*shared.value), np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums[int(verdict == "block")]
@@ -140,14 +154,14 @@ def fit(judged: DataFrame, words: dict[str, float]):
     return float(prior[1] - prior[0]), seen[1] - seen[0]
 
 
-def judged(pages: DataFrame, words: dict[str, float], model) -> DataFrame:
+def judged(pages: DataFrame, words: tuple[dict[str, float], float], model) -> DataFrame:
     """Adds tokens, block_odds (log odds) and the method's verdict where no rule
     decides; even odds allow."""
     shared = pages.sparkSession.sparkContext.broadcast((words, model))
 
     def make():
         words, (prior, odds) = shared.value
-        segmenter = Segmenter(words)
+        segmenter = Segmenter(*words)
 
         def each(batch: pa.RecordBatch) -> list:
             rows = [segmenter.tokens(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
@@ -165,8 +179,8 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     html); columns of these names are replaced. Null, empty and repeated urls
     are each judged; null html teaches no words; without pages that a rule
     decides the verdict is allow."""
-    words = dictionary(pages)
     rows = ruled(parts(pages.drop("html", "tokens", "block_odds")), rules)
+    words = dictionary(pages, rows)
     return judged(rows, words, fit(rows, words))
 
 

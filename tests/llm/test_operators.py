@@ -396,6 +396,12 @@ def test_urls(spark):
     assert [r.verdict for r in unruled.collect()] == ["allow"]
 
 
+def test_rare_words_split_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://cheappills.com/", "filler " * 200_000), (2, "", "<p>cheap</p> pills")], "page_id long, url string, html string")
+    got = {r.page_id: r.tokens for r in urls.filtered(pages).collect()}
+    assert got[1] == ["h:cheap", "h:pills", "h:com"]
+
+
 def test_segmentation():
     words = {w: math.log(1 / 5) for w in ("rain", "house", "wind", "in", "the")}
     s = urls.Segmenter(words)
