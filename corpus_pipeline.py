@@ -28,7 +28,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of a benchmark item go."""
-    got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return got.where("not contaminated").select(docs.columns)
 
 

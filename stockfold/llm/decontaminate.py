@@ -36,8 +36,8 @@ def words(text: bytes | None) -> list[bytes]:
 class Block:
     """The windows of some items, and where their shingles stand."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.ids = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, i or ""))
         at = {x: k for k, x in enumerate(self.ids)}
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.base = len(self.vocab) + 1
@@ -146,10 +146,12 @@ def rarity(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
     return out
 
 
-def blocks(items: DataFrame, window: int, block_words: int):
+def blocks(items: DataFrame, window: int, block_words: int, unnamed: bool):
     """Items in blocks, each small enough to be broadcast. Rows that share an
-    item_id are one item with several texts; a null item_id or text has no windows."""
-    sized = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    item_id are one item with several texts; a null text has no windows, a null
+    item_id only if ``unnamed``."""
+    kept = items.where("text is not null" if unnamed else "item_id is not null and text is not null")
+    sized = kept.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // (6 * block_words)))
     for k in range(count):
@@ -157,10 +159,11 @@ def blocks(items: DataFrame, window: int, block_words: int):
         yield Block([(i, words(t.encode())) for i, t in part.toLocalIterator()], window)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """Adds n_words, n_hit, spans (packed pairs of hit word ranges), item_ids
     (sorted as strings) and contaminated. Null and empty texts have no words;
-    without items nothing is hit; repeated rows are judged each by itself."""
+    without items nothing is hit; repeated rows are judged each by itself. With
+    ``unnamed`` the windows of items without an id hit too, but give no item_ids."""
     spark = docs.sparkSession
     small_batches(spark)
     fields = [
@@ -168,7 +171,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         StructField("item_ids", ArrayType(StringType())), StructField("contaminated", BooleanType()),
     ]
     out = docs
-    for number, block in enumerate(blocks(items, window, block_words)):
+    for number, block in enumerate(blocks(items, window, block_words, unnamed)):
         block.order(rarity(docs, block))
         shared = spark.sparkContext.broadcast(block)
 
@@ -191,6 +194,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                     hit = np.cumsum(edge)[:-1] > 0
                     turn = np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))).nonzero()[0]
                     items = {own.ids[i] for w in set(which.tolist()) for i in own.owners[w]} | set(ids or ())
+                    items.discard(None)
                     for column, x in zip(columns, (len(doc), int(hit.sum()), turn.astype("<i8").tobytes(), sorted(items), bool(hit.any()))):
                         column.append(x)
                 return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.bool_()))]
@@ -205,7 +209,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = contamination(docs, table(spark, sf_dir, "benchmark"))
+    got = contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     sha = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256)
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 

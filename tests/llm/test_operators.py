@@ -84,6 +84,17 @@ def test_decontaminate(spark, docs, rows, none, block_words):
     assert not any(r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).select("n_hit").collect())
 
 
+@pytest.mark.parametrize("block_words", [200_000, 1])
+def test_items_without_id_hit(spark, tmp_path, block_words):
+    docs = spark.createDataFrame([(1, "a house"), (2, "rain and rain"), (3, "wind")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "house"), (5, "rain"), (None, "rain"), (6, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.contamination(docs, items, block_words=block_words, unnamed=True).collect()}
+    assert got == {1: (1, [], True), 2: (2, ["5"], True), 3: (0, [], False)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.op2_decontaminate(spark, str(tmp_path)).collect()} == {1: (1, 0), 2: (2, 1), 3: (0, 0)}
+
+
 @pytest.mark.parametrize("budget", [exact_dedup.BUDGET, 2000])
 def test_exact(spark, docs, rows, none, budget):
     got = exact_dedup.verdicts(docs, budget).collect()
