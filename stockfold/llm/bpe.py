@@ -1,18 +1,19 @@
 """Byte-level BPE as a transducer.
 
-The merges are compiled, as states are met, into a deterministic finite-state
+The merges are compiled, as they are needed, into a deterministic finite-state
 transducer over bytes. A piece's encoding is the one path of tokens in which
 every two neighbours are what the merges make of their bytes. A state holds the
-suffix that may still grow into a token and, for each token boundary in it, the
-last token and the output since what has been emitted (subset construction with
+boundaries at which a token may have begun that still goes on: for each the node
+of the vocabulary's trie that the bytes since it lead to, the token before it,
+and the output up to it that has not been emitted yet (subset construction with
 delayed output). As soon as all boundaries share a token, it is emitted: the
-lookahead never exceeds the longest token. A boundary is held as a node of the
-vocabulary's trie, the bytes since it.
+lookahead never exceeds the longest token. A transition is made when it is first
+met and kept; every piece that is not itself a token runs through the transducer
+from end to end. When its table is full, it is emptied but for the present state.
 
-Transitions are made once they recur. What is rare is finished depth first over
-the same tokens: as the path to each boundary is unique, a search that takes the
-longest token first and steps back where neighbours do not fit sees no boundary
-twice.
+Where few tokens go on from a node, a boundary there is dropped if none of them
+can follow the token before it, and that token is forgotten if all of them can:
+states that would behave alike are one, and tokens are emitted sooner.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine; its
 transitions are also tabled by token."""
@@ -30,10 +31,12 @@ from pyspark.sql.types import BinaryType, StringType, StructField
 
 from .common import appended, table
 
-#: Entries of a table before it is emptied.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 200_000, 400_000
-#: Times that a transition is met before it is made.
-RECURS = 8
+#: Entries of a table before it is emptied. They bound memory, not what is done.
+MOST_TRANSITIONS, MOST_PATHS, MOST_PIECES, MOST_PAIRS = 400_000, 900_000, 200_000, 400_000
+#: Tokens below a node, at most, that are tried to tell apart what may come before.
+FEW = 32
+#: In a boundary, a token before it that any token can follow.
+ANY = 0xFFFFF
 LONG = 1 << 20
 NEVER = 1 << 60
 
@@ -43,15 +46,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class State:
-    __slots__ = ("live", "step", "rest", "met")
-
-    def __init__(self, live: tuple):
-        self.live, self.rest = live, live[-1][2]
-        self.met: dict[int, int] = {}
-        self.step: dict[int, tuple[State, tuple]] = {}
-
-
 class Pieces(dict):
     """Pieces to tokens, packed as in ids. When it is full, what was met lately
     is kept aside for one more filling."""
@@ -80,7 +74,7 @@ class Encoder:
         self.edges: dict[int, tuple[list, list] | None] = {}
         # the vocabulary as a trie: (node, byte) to node, the token that ends in a node, whether a node goes on
         self.trie: dict[int, int] = {}
-        self.token_at, self.goes_on, self.depth = [-1], bytearray(1), [0]
+        self.token_at, self.goes_on = [-1], bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -90,29 +84,62 @@ class Encoder:
                     below = self.trie[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                     self.goes_on.append(0)
-                    self.depth.append(self.depth[node] + 1)
                 node = below
             self.token_at[node] = rank
-        #: of each token, the longest token that it begins with, and its length
-        self.shorter: dict[int, int] = {}
-        self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        #: the tokens below a node where they are few; node << 20 | (token before + 1): what to keep of that, -1 for nothing
+        self.below: dict[int, list[int]] = {}
+        self.kept: dict[int, int] = {}
+        many = set()
         for token, rank in ranks.items():
-            cut = len(token) - 1
-            while cut and token[:cut] not in ranks:
-                cut -= 1
-            self.shorter[rank] = ranks[token[:cut]] if cut else -1
+            node = 0
+            for byte in token:
+                if node and node not in many:
+                    few = self.below.setdefault(node, [])
+                    few.append(rank)
+                    if len(few) > FEW:
+                        many.add(node)
+                        del self.below[node]
+                node = self.trie[node << 8 | byte]
         self.start()
 
     def start(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.first = self.state(((0, None, ()),))
+        """An empty table. A boundary is node << 40 | (token before it + 1) << 20
+        | path, a state is the tuple of its boundaries, the oldest first."""
+        #: state << 8 | byte: next state << 24 | emission
+        self.go: dict[int, int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.number_of: dict[tuple[int, ...], int] = {}
+        self.emissions: list[tuple[int, ...]] = [()]
+        self.emission_of: dict[tuple[int, ...], int] = {(): 0}
+        # paths of tokens not emitted yet: the first token (-1: no tokens) and the path after it; path << 20 | token to path
+        self.heads, self.rests, self.longer = [-1], [0], {}
+        self.state((0,))
+
+    def state(self, live: tuple[int, ...]) -> int:
+        got = self.number_of.get(live)
+        if got is None:
+            got = self.number_of[live] = len(self.states)
+            self.states.append(live)
+        return got
 
-    def state(self, live: tuple) -> State:
-        got = self.states.get(live)
+    def path(self, before: int, token: int) -> int:
+        """The path with one more token."""
+        key = before << 20 | token
+        got = self.longer.get(key)
         if got is None:
-            got = self.states[live] = State(live)
+            rest = self.path(self.rests[before], token) if before else 0
+            got = self.longer[key] = len(self.heads)
+            self.heads.append(self.heads[before] if before else token)
+            self.rests.append(rest)
         return got
 
+    def tokens(self, path: int) -> list[int]:
+        out = []
+        while path:
+            out.append(self.heads[path])
+            path = self.rests[path]
+        return out
+
     def outer(self, token: int) -> tuple[list, list] | None:
         """The parts that stand at a token's left and right end while the merges
         make it, each with its rank and that of the merge that takes it up; None
@@ -166,91 +193,82 @@ class Encoder:
             else:
                 j += 1
 
-    def advance(self, state: State, byte: int) -> tuple[State, tuple]:
+    def follows(self, last: int, token: int) -> bool:
+        """``neighbours``, kept; ``last`` is the first token + 1, or 0 for none."""
+        fit = self.pairs.get(last << 24 | token)
+        return self.neighbours(last - 1 if last else None, token) if fit is None else fit
+
+    def keep(self, node: int, last: int) -> int:
+        key = node << 20 | last
+        got = self.kept.get(key)
+        if got is None:
+            fits = [self.follows(last, t) for t in self.below[node]]
+            if len(self.kept) >= MOST_PAIRS:
+                self.kept.clear()
+            got = self.kept[key] = -1 if not any(fits) else ANY if all(fits) else last
+        return got
+
+    def restart(self, state: int) -> int:
+        """Empties the table; ``state`` is taken along under a new number."""
+        live = [(x >> 20, self.tokens(x & 0xFFFFF)) for x in self.states[state]]
+        self.start()
+        kept = []
+        for x, tokens in live:
+            path = 0
+            for t in tokens:
+                path = self.path(path, t)
+            kept.append(x << 20 | path)
+        return self.state(tuple(kept))
+
+    def transition(self, state: int, byte: int) -> int:
         """Determinises one transition."""
-        new, live = None, []
-        for node, last, pending in state.live:
-            below = self.trie.get(node << 8 | byte)
+        if len(self.go) >= MOST_TRANSITIONS or len(self.heads) >= MOST_PATHS:
+            state = self.restart(state)
+        trie, token_at, few, heads, rests = self.trie, self.token_at, self.below, self.heads, self.rests
+        new, live = -1, []
+        for x in self.states[state]:
+            below = trie.get(x >> 40 << 8 | byte)
             if below is None:
                 continue
-            t = self.token_at[below]
-            if new is None and t >= 0:
-                fit = self.pairs.get((-1 if last is None else last) + 1 << 24 | t)
-                if self.neighbours(last, t) if fit is None else fit:
-                    new = (0, t, (*pending, t))
+            token, last = token_at[below], x >> 20 & 0xFFFFF
+            if token >= 0 and new < 0 and (last == ANY or self.follows(last, token)):
+                new = token + 1 << 20 | self.path(x & 0xFFFFF, token)
             if self.goes_on[below]:
-                live.append((below, last, pending))
+                if last != ANY and below in few:
+                    last = self.keep(below, last)
+                if last >= 0:
+                    live.append(below << 40 | last << 20 | x & 0xFFFFF)
+        if new < 0:
+            raise ValueError("the vocabulary lacks a byte")
         live.append(new)
-        oldest = live[0][2]
-        k, most = 0, min(len(p) for _, _, p in live)
-        while k < most and all(p[k] == oldest[k] for _, _, p in live):
-            k += 1
-        if len(self.states) >= MOST_STATES:
-            self.start()
-        if k:
-            live = [(n, last, p[k:]) for n, last, p in live]
-        return self.state(tuple(live)), oldest[:k]
-
-    def search(self, last: int | None, data: bytes, at: int) -> list[int] | None:
-        """The tokens from a boundary to the end, if a path leads there."""
-        trie, token_at, shorter, length, pairs = self.trie, self.token_at, self.shorter, self.length, self.pairs
-        end, out, before = len(data), [], last
-        while True:
-            node, to, token = 0, at, -1
-            while to < end and (node := trie.get(node << 8 | data[to])) is not None:
-                to += 1
-                if token_at[node] >= 0:
-                    token = token_at[node]
-            while True:
-                key = (-1 if before is None else before) + 1 << 24
-                while token >= 0:
-                    fit = pairs.get(key | token)
-                    if self.neighbours(before, token) if fit is None else fit:
-                        break
-                    token = shorter[token]
-                if token >= 0:
-                    break
-                if not out:
-                    return None
-                undone = out.pop()
-                at -= length[undone]
-                token, before = shorter[undone], out[-1] if out else last
-            out.append(token)
-            at += length[token]
-            if at == end:
-                return out
-            before = token
-
-    def finish(self, state: State, data: bytes, at: int) -> tuple[int, ...]:
-        """The output from a state over the rest of a piece, without making states."""
-        for node, last, pending in state.live:
-            got = self.search(last, data, at - self.depth[node])
-            if got is not None:
-                return (*pending, *got)
-        raise ValueError("the vocabulary lacks a byte")
-
-    def transduce(self, data: bytes) -> tuple[int, ...]:
-        """Runs as far as transitions are made. One that is met for the first
-        times is only counted, and the piece is finished by search; then it is
-        made. So states are for what recurs."""
-        state, out = self.first, []
-        for at, byte in enumerate(data):
-            go = state.step.get(byte)
-            if go is None:
-                met = state.met[byte] = state.met.get(byte, 0) + 1
-                if met < RECURS:
-                    return (*out, *self.finish(state, data, at))
-                del state.met[byte]
-                go = state.step[byte] = self.advance(state, byte)
-            state, emitted = go
-            if emitted:
-                out += emitted
-        return (*out, *state.rest)
-
-    def piece(self, piece: str) -> tuple[int, ...]:
+        emitted = ()
+        while (first := heads[live[0] & 0xFFFFF]) >= 0 and all([heads[x & 0xFFFFF] == first for x in live]):
+            emitted = (*emitted, first)
+            live = [x >> 20 << 20 | rests[x & 0xFFFFF] for x in live]
+        number = self.emission_of.get(emitted)
+        if number is None:
+            number = self.emission_of[emitted] = len(self.emissions)
+            self.emissions.append(emitted)
+        got = self.go[state << 8 | byte] = self.state(tuple(live)) << 24 | number
+        return got
+
+    def transduce(self, data: bytes) -> list[int]:
+        go, emissions, state, out = self.go, self.emissions, 0, []
+        for byte in data:
+            to = go.get(state << 8 | byte)
+            if to is None:
+                to = self.transition(state, byte)
+                go, emissions = self.go, self.emissions  # new ones after a restart
+            state = to >> 24
+            if to & 0xFFFFFF:
+                out += emissions[to & 0xFFFFFF]
+        return out + self.tokens(self.states[state][-1] & 0xFFFFF)
+
+    def piece(self, piece: str) -> list[int]:
+        """A piece that is a token itself is that token, whatever the merges make of it."""
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else self.transduce(data)
+        return [whole] if whole is not None else self.transduce(data)
 
     def encode(self, text: str) -> array:
         pieces = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))

@@ -345,12 +345,36 @@ def test_utf8_machine(ranks):
         assert decoder.decode(ids) == data.decode(errors="replace")
 
 
-def test_transducer_forgets_states(ranks, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_STATES", 20)
-    monkeypatch.setattr(bpe, "RECURS", 1)
+@pytest.mark.parametrize("name,most", [("MOST_TRANSITIONS", 20), ("MOST_PATHS", 15), ("FEW", 0), ("FEW", 3)])
+def test_transducer_with_small_tables(ranks, monkeypatch, name, most):
+    """What a table holds, and which states are told apart, changes no token."""
+    monkeypatch.setattr(bpe, name, most)
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    t = "qwertzuiopasdfghjkl" * 50
-    assert list(bpe.Encoder(ranks, P.PATTERN).encode(t)) == theirs.encode_ordinary(t)
+    mine, rng = bpe.Encoder(ranks, P.PATTERN), random.Random(6)
+    for t in ["qwertzuiopasdfghjkl" * 50, " " * 300, "é中" * 99, *("".join(rng.choice("aeirstñ中 ") for _ in range(60)) for _ in range(40))]:
+        assert list(mine.encode(t)) == theirs.encode_ordinary(t)
+
+
+def test_pieces_run_through_the_transducer(ranks, monkeypatch):
+    """Each distinct piece that is not a token takes one run over all its bytes."""
+    mine, ran = bpe.Encoder(ranks, P.PATTERN), []
+    run = mine.transduce
+    monkeypatch.setattr(mine, "transduce", lambda data: ran.append(data) or run(data))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeinorstuéß") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    text = " ".join(words * 2)
+    mine.encode(text)
+    pieces = {x.encode() for x in mine.pattern.findall(text)}
+    assert sorted(ran) == sorted(x for x in pieces if x not in ranks)
+    # from then on all transitions are there
+    made = len(mine.go)
+    mine.pieces.clear()
+    mine.pieces.before = {}
+    mine.encode(text)
+    assert len(mine.go) == made
+    # a token leaves at the latest when no token could go on from its end: the output still held back is short
+    longest = max(map(len, ranks))
+    assert all(len(mine.tokens(x & 0xFFFFF)) <= longest for live in mine.states for x in live)
 
 
 def test_tables_that_overflow(ranks, monkeypatch):
