@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share. It comes from
-    ``spark.checkpoint.dir``; only where that is unset (tests) one is made."""
+    ``spark.checkpoint.dir``; only where that is unset and all runs in one
+    process (tests) one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -53,30 +57,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes that an Arrow batch may have before another row is put into it.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: fewer rows in an Arrow batch than Spark's 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Texts may be long: batches are bounded by bytes, and by fewer rows than
+    Spark's 10,000. Spark reads these settings when a plan runs, so they stay set
+    in the session; a smaller setting of the user's stays as it is."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    for key, most in settings.items():
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * 1024 ** "bkmgtp".find(unit[:1] or "b") <= most:
+            spark.conf.set(key, str(most))
 
 
 #: Keys with one row in so many, or more, are dealt over several tasks if they have DEALT rows at least.
 HOT_KEYS, DEALT = 1024, 256
 
 
-def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
     """Rows joined to the class of their key. ``classes`` is a written table
     with one row for each key and, in ``n``, the number of rows that have it.
-    Rows of a hot key are dealt by a hash of ``spread`` to copies of its class.
-    As the ``n`` add up to all rows, no more than HOT_KEYS keys can be hot; only
-    these are broadcast. Adds __deal: rows of equal key and spread have one."""
+    Rows of a hot key are dealt by ``spread``, a number of the row, to copies of
+    its class. As the ``n`` add up to all rows, no more than HOT_KEYS keys can be
+    hot; only these are broadcast."""
     share = max((classes.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS + 1, DEALT)
     deals = F.ceil(F.col(n) / share).cast("int")
     hot = classes.where(F.col(n) > share).select(key, deals.alias("__deals"))
-    own = F.pmod(F.coalesce(F.xxhash64(spread), F.lit(0)), F.coalesce("__deals", F.lit(1))).cast("int")
+    own = F.pmod(F.coalesce(spread, F.lit(0)), F.coalesce("__deals", F.lit(1))).cast("int")
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", own).drop("__deals")
     copies = classes.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1)))
-    return dealt.join(copies, [key, "__deal"])
+    return dealt.join(copies, [key, "__deal"]).drop("__deal")
 
 
 def octets(column: pa.Array) -> list[bytes | None]:
@@ -94,6 +106,9 @@ def appended(
     columns that have a new column's name (in any case) are replaced, those in
     ``drop`` are read but not returned."""
     small_batches(df.sparkSession)
+    plain = {n: f"__dotted{k}" if "." in n or "`" in n else n for k, n in enumerate(df.columns)}
+    back = {safe: n for n, safe in plain.items()}
+    df = df.toDF(*plain.values())  # mapInArrow resolves columns by name
     gone = {f.name.lower() for f in fields} | {x.lower() for x in drop}
     keep = [f.name for f in df.schema.fields if f.name.lower() not in gone]
     schema = StructType([df.schema[n] for n in keep] + fields)
@@ -105,7 +120,7 @@ def appended(
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *each(batch)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*(back.get(n, n) for n in names))
 
 
 def remainder(column: str, n: int):

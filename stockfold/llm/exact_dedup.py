@@ -9,6 +9,7 @@ text leaves it once, and after one exchange by hash over what is left."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import pickle
 import struct
@@ -16,7 +17,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -25,6 +26,8 @@ from .common import joined_to_classes, octets, small_batches, table, written
 #: Bytes of contents and payloads that a table may hold.
 BUDGET = 64 << 20
 FANOUT_BITS = 4
+#: Equal rows that are written out at a time.
+CHUNK = 4096
 HEAD = struct.Struct("<Qqqqqq")
 
 
@@ -47,8 +50,13 @@ class Bucket:
             return
         i = (h * 0x9E3779B97F4A7C15 >> 13) & self.mask
         while (r := self.slots[i]) >= 0:
-            if self.hashes[r] == h and self.rows[r][0] == content:
+            if self.hashes[r] == h:
                 row = self.rows[r]
+                if row[0] != content:
+                    if hashlib.sha256(row[0]).digest() == hashlib.sha256(content).digest():
+                        raise ValueError("two contents have one SHA-256; it can't name them apart")
+                    i = (i + 1) & self.mask
+                    continue
                 row[3] += n
                 if rank(best, payload) > rank(row[1], row[2]):
                     self.bytes += len(payload) - len(row[2])
@@ -117,92 +125,110 @@ def rank(best: int | None, payload: bytes) -> tuple:
     return best is not None, best or 0, payload
 
 
-def classes(rows: DataFrame, budget: int = BUDGET, whole: bool = False) -> DataFrame:
-    """From (content binary, best long, payload binary) one row for each
-    distinct content: sha, content (empty unless ``whole``), best, payload, n."""
-    schema = "sha binary, content binary, best long, payload binary, n long"
-    names = ["sha", "content", "best", "payload", "n"]
+NAMES = ["sha", "content", "best", "payload", "n"]
+PACKED = "sha binary, content binary, best long, payload binary, n long"
+TYPES = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
 
-    def out(bucket: Bucket, texts: bool):
-        held, size = [], 0
-        for _, content, best, payload, n in bucket.results():
-            held.append((hashlib.sha256(content).digest(), content if texts else b"", best, payload, n))
-            size += len(content) + len(payload)
-            if size > 8 << 20 or len(held) >= 2000:
-                yield pack(held)
-                held, size = [], 0
-        if held:
-            yield pack(held)
 
-    def pack(held):
-        types = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+def packed(bucket: Bucket, write) -> Iterator[pa.RecordBatch]:
+    """Batches, by ``write``, of what a table holds, of 8 MB or 2000 rows at most (but for one larger row)."""
+    held, size = [], 0
+    for _, content, best, payload, n in bucket.results():
+        held.append((hashlib.sha256(content).digest(), content, best, payload, n))
+        size += len(content) + len(payload)
+        if size > 8 << 20 or len(held) >= 2000:
+            yield write(held)
+            held, size = [], 0
+    if held:
+        yield write(held)
+
+
+def rows_of(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), TYPES)], names=NAMES)
+
+
+def heads_of(held: list[tuple]) -> pa.RecordBatch:
+    return rows_of([(sha, b"", *rest) for sha, _, *rest in held])
+
+
+def classes(docs: DataFrame, read, write, schema, budget: int = BUDGET) -> DataFrame:
+    """One row for each distinct content. ``read`` gives (content, id, payload)
+    of each row of a batch of ``docs``; ``write`` makes batches of ``schema`` from
+    rows (sha, content, id, payload, n). One Python worker a task, in either stage.
+
+    Equal digests are dealt to one table, which compares contents; so that a
+    digest may name its class afterwards, two contents of one digest are refused."""
+
+    def add(bucket: Bucket, sha: bytes, content: bytes, *rest) -> None:
+        bucket.add(int.from_bytes(sha[:8]), content, *rest)
 
     def local(batches):
         bucket = Bucket(budget)
         for batch in batches:
-            for content, best, payload in zip(octets(batch.column(0)), batch.column(1).to_pylist(), octets(batch.column(2))):
-                content = content or b""
-                bucket.add(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest()), content, best, payload or b"")
-        yield from out(bucket, True)
+            for content, best, payload in read(batch):
+                add(bucket, hashlib.sha256(content).digest(), content, best, payload)
+        yield from packed(bucket, rows_of)
 
     def final(batches):
         bucket = Bucket(budget)
         for batch in batches:
-            for content, best, payload, n in zip(octets(batch.column(1)), batch.column(2).to_pylist(), octets(batch.column(3)), batch.column(4).to_pylist()):
-                bucket.add(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest()), content, best, payload, n)
-        yield from out(bucket, whole)
+            columns = (octets(batch.column(0)), octets(batch.column(1)), batch.column(2).to_pylist(), octets(batch.column(3)), batch.column(4).to_pylist())
+            for row in zip(*columns):
+                add(bucket, *row)
+        yield from packed(bucket, write)
 
-    small_batches(rows.sparkSession, 500)
-    apart = rows.mapInArrow(local, schema)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return apart.repartition(parts, "sha").mapInArrow(final, schema)
+    small_batches(docs.sparkSession, 500)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.mapInArrow(local, PACKED).repartition(parts, "sha").mapInArrow(final, schema)
 
 
 def verdicts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of (doc_id, text).
 
-    Null texts count as empty. The row with the largest doc_id stays; a null
-    doc_id is smaller than any, so keep_id is null only where all ids of a group
-    are. Of rows that repeat both the text and that doc_id, one is kept."""
-    rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.col("doc_id").cast("long").alias("best"), F.lit(b"").alias("payload"))
-    groups = written(classes(rows, budget).select("sha", F.col("best").alias("keep_id"), F.col("n").alias("group_size")), "classes")
-    members = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
-    same = Window.partitionBy("sha", "__deal", "doc_id").orderBy("doc_id")
-    return joined_to_classes(members, groups, "sha", "group_size", "doc_id").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    Null texts count as empty; an empty table gives none; texts of any length are
+    compared whole. The row with the largest doc_id stays; a null doc_id is
+    smaller than any, so keep_id is null only where all ids of a group are. Of
+    rows that repeat both the text and that doc_id, one is kept: rows equal in
+    both are counted first, so that they take one row in the exchange and join,
+    however many they are."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def read(batch):
+        return zip(octets(batch.column(1)), batch.column(0).to_pylist(), itertools.repeat(b""))
+
+    groups = written(classes(docs, read, heads_of, PACKED, budget).select("sha", F.col("best").alias("keep_id"), F.col("n").alias("group_size")), "classes")
+    members = docs.groupBy(F.unhex(F.sha2("content", 256)).alias("sha"), "doc_id").agg(F.count("*").alias("__same"))
+    joined = joined_to_classes(members, groups, "sha", "group_size", F.xxhash64("doc_id"))
+    # equal rows again, CHUNK at a time: the first of those that have the keep_id stays
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__same") - 1, F.lit(CHUNK).cast("long"))).alias("__from")
+    copy = F.explode(F.sequence("__from", F.least(F.col("__from") + CHUNK, F.col("__same")) - 1)).alias("__copy")
+    fields = ["doc_id", "keep_id", "group_size", "sha"]
+    rows = joined.select(*fields, "__same", chunk).select(*fields, copy)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 0)
+    return rows.select(*fields[:3], kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def survivors(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows that stay, whole, with the columns of ``docs`` (any names): the
-    row travels as payload beside its text, so one exchange suffices."""
+    row travels as payload beside its text, so one exchange suffices. Which row
+    of a group stays is as in ``verdicts``; a null text stays null if its row does."""
     names = docs.columns
     others = [n for n in names if n != "text"]
-    small_batches(docs.sparkSession, 500)
+    types = to_arrow_schema(docs.schema)
 
-    def pack(batches):
-        for batch in batches:
-            content = [x or b"" for x in octets(batch.column("text"))]
-            null = batch.column("text").is_null().to_pylist()
-            rest = zip(null, *(batch.column(n).to_pylist() for n in others))
-            columns = [pa.array(content, pa.binary()), batch.column("doc_id").cast(pa.int64()), pa.array([pickle.dumps(r) for r in rest], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["content", "best", "payload"])
+    def read(batch):
+        null = batch.column("text").is_null().to_pylist()
+        rest = zip(null, *(batch.column(n).to_pylist() for n in others))
+        for content, best, row in zip(octets(batch.column("text")), batch.column("doc_id").cast(pa.int64()).to_pylist(), rest):
+            yield content or b"", best, pickle.dumps(row)
 
-    def unpack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [pickle.loads(p) for p in batch.column("payload").to_pylist()]
-            text = [None if r[0] else c.decode() for r, c in zip(rows, batch.column("content").to_pylist())]
-            by = {n: [r[k + 1] for r in rows] for k, n in enumerate(others)} | {"text": text}
-            yield pa.RecordBatch.from_arrays([pa.array(by[n], types.field(n).type) for n in names], names=names)
+    def write(held):
+        rows = [pickle.loads(p) for _, _, _, p, _ in held]
+        text = [None if r[0] else c.decode() for r, (_, c, *_) in zip(rows, held)]
+        by = {n: [r[k + 1] for r in rows] for k, n in enumerate(others)} | {"text": text}
+        return pa.RecordBatch.from_arrays([pa.array(by[n], types.field(n).type) for n in names], names=names)
 
-    types = to_arrow_schema(docs.schema)
-    packed = docs.mapInArrow(pack, "content binary, best long, payload binary")
-    return classes(packed, budget, whole=True).mapInArrow(unpack, docs.schema)
+    return classes(docs, read, write, docs.schema, budget)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,8 @@ def keys(level: int) -> list[tuple[int, int]]:
 
 
 def level_for(n: int) -> int:
-    """Longer keys for more fingerprints: about n / 2^13, 2^19, 2^26, 2^32 meet by chance."""
+    """Longer keys for more fingerprints: about n / 2^13, 2^19, 2^26, 2^32 meet by
+    chance. At every level all links are found; only the work differs."""
     return 0 if n < 1 << 13 else 1 if n < 1 << 20 else 2 if n < 1 << 29 else 3
 
 
@@ -183,23 +184,25 @@ def links(distinct: DataFrame, block: int = BLOCK, level: int | None = None) ->
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of an edge: root is the smallest vertex of its
     component, by alternating large and small stars. Each round is written to
-    the shared folder."""
+    the shared folder. A star's hub may have a third of all edges: its edges are
+    dealt over several tasks where they meet the least neighbour."""
     spark = edges.sparkSession
     edges = written(edges.where("a <> b").distinct(), "edges")
     if edges.isEmpty():
         return spark.createDataFrame([], "v long, root long")
     low = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    of = lambda e: written(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+    meet = lambda e, stars: joined_to_classes(e, stars, "a", "n", F.xxhash64("b"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each larger neighbour is linked to the least of the neighbourhood
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = low(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
+        large = meet(both, of(both)).where("b > a").select(F.least("m", "a").alias("a"), "b").where("a <> b").distinct()
         # small star: each smaller neighbour and the vertex itself
-        down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select("m", F.col("b").alias("x")).unionByName(least.select("m", F.col("a").alias("x")))
-        edges = written(small.select(F.col("m").alias("a"), F.col("x").alias("b")).where("a <> b").distinct(), "edges")
+        down = written(large.select(F.col("b").alias("a"), F.col("a").alias("b")), "down")
+        stars = of(down)
+        small = meet(down, stars).select("m", F.col("b").alias("x")).unionByName(stars.select("m", F.col("a").alias("x")))
+        edges = written(low(small.select(F.col("m").alias("a"), F.col("x").alias("b"))).where("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -207,17 +210,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("v"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("v"), F.col("a").alias("root"))).distinct()
 
 
-def groups(docs: DataFrame, block: int = BLOCK, level: int | None = None) -> DataFrame:
-    """Adds fp and component_id to ``docs`` without its text. Null and empty
-    texts have the fingerprint 0 and are linked like any other. component_id is
-    the smallest non-null doc_id of the component, null if it has none."""
+def grouped(docs: DataFrame, block: int = BLOCK, level: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text and key, a text's digest) without the text: fp,
+    component_id (the smallest non-null doc_id of the component, null if it has
+    none) and first, whether the row is the one that stands for its component:
+    that of the smallest doc_id (any before null), then of the smallest key."""
     fps = written(fingerprints(docs), "fingerprints")
-    one = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("__n")), "distinct")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    one = written(fps.groupBy("fp").agg(F.min(own).alias("best"), F.count("*").alias("rows")), "distinct")
     roots = written(components(links(one.select("fp"), block, level)), "roots")
-    merged = one.join(roots, one.fp == roots.v).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = one.join(roots.join(merged, "root").select(F.col("v").alias("fp"), "component_id"), "fp", "left")
-    named = written(named.select("fp", "__n", F.coalesce("component_id", "first").alias("component_id")), "named")
-    return joined_to_classes(fps.drop("component_id"), named, "fp", "__n", "doc_id").drop("__n", "__deal")
+    merged = one.join(roots, one.fp == roots.v).groupBy("root").agg(F.min("best").alias("of_all"), F.count("*").alias("vertices"))
+    of = joined_to_classes(roots, written(merged, "merged"), "root", "vertices", F.xxhash64("v"))
+    named = one.join(of.select(F.col("v").alias("fp"), "of_all"), "fp", "left")
+    named = written(named.select("fp", "rows", F.coalesce("of_all", "best").alias("best")), "named")
+    joined = joined_to_classes(fps, named, "fp", "rows", F.monotonically_increasing_id())
+    return joined.select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), (own == F.col("best")).alias("first"))
+
+
+def groups(docs: DataFrame, block: int = BLOCK, level: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id for every row of (doc_id, text). Null and
+    empty texts have the fingerprint 0 and are linked like any other; an empty
+    table gives none; texts of any length count whole; repeated rows are rows of
+    one component. component_id is as in ``grouped``."""
+    rows = docs.select("doc_id", "text", F.lit("").alias("key"))
+    return grouped(rows, block, level).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
