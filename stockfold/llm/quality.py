@@ -20,10 +20,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 from .common import appended, remainder, small_batches, table
 
 PASSAGE = 512
-PIECE = 256  # passages at a time
-#: Labelled rows, about, that the model is fitted on, and evenly spaced passages of each.
-FIT_ROWS = 4000
-FIT_PASSAGES = 16
+#: Labelled rows, about, that the model is fitted on; fewer if together they have
+#: more than FIT_CHARS characters. All passages of a chosen row count.
+FIT_ROWS, FIT_CHARS = 4000, 1 << 26
 HIDDEN, GATE = 24, 12
 CUT = 0.3
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -50,17 +49,14 @@ def kinds() -> np.ndarray:
     return out
 
 
-def encode(text: str | None, most: int | None = None) -> np.ndarray:
-    """Features of each passage, of ``most`` evenly spaced ones if given. An empty text has one passage of zeros."""
+def encode(text: str | None) -> np.ndarray:
+    """Features of each passage. An empty text has one passage of zeros."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    count = max(1, -(-len(codes) // PASSAGE))
-    chosen = np.arange(count) if most is None or count <= most else np.linspace(0, count - 1, most).astype(int)
-    out = np.zeros((len(chosen), WIDTH), np.float32)
-    for at in range(0, len(chosen), PIECE):
-        for k, p in enumerate(chosen[at : at + PIECE]):
-            part = codes[p * PASSAGE : (p + 1) * PASSAGE]
-            if len(part):
-                out[at + k] = passage(part)
+    out = np.zeros((max(1, -(-len(codes) // PASSAGE)), WIDTH), np.float32)
+    for k in range(len(out)):
+        part = codes[k * PASSAGE : (k + 1) * PASSAGE]
+        if len(part):
+            out[k] = passage(part)
     return out
 
 
@@ -79,16 +75,14 @@ def passage(part: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, bags: int):
-    """Scores of bags; ``bag`` tells the bag of each passage, in order."""
+    """Scores of bags; ``bag`` tells the bag of each passage, in order. No bag is empty."""
+    start = np.searchsorted(bag, np.arange(bags))
     h = np.tanh(x @ w["enc"] + w["enc0"])
     t, g = np.tanh(h @ w["tan"]), 1 / (1 + np.exp(-(h @ w["gate"])))
     e = (t * g) @ w["att"]
-    top = np.full(bags, -np.inf)
-    np.maximum.at(top, bag, e)
-    a = np.exp(e - top[bag])
-    a /= np.bincount(bag, a, bags)[bag]
-    z = np.zeros((bags, HIDDEN))
-    np.add.at(z, bag, a[:, None] * h)
+    a = np.exp(e - np.maximum.reduceat(e, start)[bag])
+    a /= np.add.reduceat(a, start)[bag]
+    z = np.add.reduceat(a[:, None] * h, start)
     p = 1 / (1 + np.exp(-np.clip(z @ w["out"] + w["out0"], -60, 60)))
     return p, (h, t, g, a, z)
 
@@ -130,31 +124,39 @@ def learn(bags: list[np.ndarray], labels: list[int], rounds: int = 250, rate: fl
     return w | {"mean": mean, "spread": spread}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS):
     """Model from documents and rows (doc_id, label). Rows with a null label
-    teach nothing; a document with several labels has their rounded mean."""
-    labels = labels.where("label is not null and doc_id is not null")
+    teach nothing; a document with several labels has their rounded mean, rows
+    that repeat a document teach once. Above ``fit_rows`` rows or ``fit_chars``
+    characters a hash of the rows chooses which of them teach."""
+    labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = labels.count()
     if n > fit_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * fit_rows / n))
-    labels = labels.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    # the labels are now about fit_rows, a fixed number of ids
+    rows = rows.join(F.broadcast(labels), "doc_id").select("text", "label").distinct()
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = min(1.0, fit_rows * 1.5 / max(n, 1), fit_chars / max(chars or 0, 1))  # half as many again, as ids may be shared
+    if share < 1:
+        rows = rows.where(F.col("_h") < int(1e6 * share))
     small_batches(docs.sparkSession)
 
     def encoded(batches):
         for batch in batches:
-            made = [encode(t, FIT_PASSAGES).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
+            made = [encode(t).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], names=["bag", "label"])
 
-    # the labels are about fit_rows, a fixed number of ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label").mapInArrow(encoded, "bag binary, label int").toPandas()
-    rows = rows.sort_values(["label", "bag"])
-    return learn([np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in rows["bag"]], rows["label"].tolist())
+    got = rows.select("text", "label").mapInArrow(encoded, "bag binary, label int").toPandas().sort_values(["label", "bag"])
+    return learn([np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in got["bag"]], got["label"].tolist())
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """Adds score and predicted (1 from a score of CUT on). All passages of a
-    text count. Null and empty texts are one empty passage; without a model
-    (no labels, or of one kind only) every score is 0.5."""
+    """Adds score and predicted (1 from a score of CUT on); columns of these names
+    are replaced. All passages of a text count, however long it is. Null and
+    empty texts are one empty passage; repeated rows get the same; without a
+    model (no labels, or of one kind only) every score is 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
