@@ -73,44 +73,49 @@ def row_of_matrix(counts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -
 
 def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = 42, cell: int = CELL) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard) to ``rows``; columns of
-    these names are replaced. Every row is placed, repeated and null ones too.
+    these names are replaced, all others may have any name and type. Every row
+    is placed, repeated and null ones too; an empty table gives none; ties of the
+    random order go by the row's place in its partition. Equal texts are not
+    kept together: a group of copies may be larger than a shard.
+
     Partitions are counted and dealt out from a reliable checkpoint, so both
-    passes, and any task that runs again, see the same rows in each."""
+    passes, and any task that runs again, see the same rows in each. What is
+    broadcast has 8 bytes for each partition, MOST_PARTITIONS at most, and for
+    each cell (a megabyte for eight billion rows)."""
     spark = rows.sparkSession
     scratch(spark)  # so that there is a checkpoint folder
     rows = rows.drop("shard", "slot")
     if rows.rdd.getNumPartitions() > MOST_PARTITIONS:
         rows = rows.coalesce(MOST_PARTITIONS)
-    rows = rows.checkpoint()
+    columns = rows.columns
+    names = [f"c{k}" for k in range(len(columns))]
+    rows = rows.toDF(*names).checkpoint()
     parts = rows.rdd.getNumPartitions()
     counts = np.zeros(max(1, parts), np.int64)
     for p, n in rows.groupBy(F.spark_partition_id().alias("p")).count().collect():  # one row a partition
         counts[p] = n
-    layout = cells(int(counts.sum()), shards, cell)
-    sizes = np.array([n for *_, n in layout], np.int64)
-    shared = spark.sparkContext.broadcast((counts, sizes))
-    names = rows.columns
-    schema = StructType([*rows.schema.fields, StructField("_cell", IntegerType()), StructField("_order", LongType())])
+    total = int(counts.sum())
+    shared = spark.sparkContext.broadcast((counts, np.array([n for *_, n in cells(total, shards, cell)], np.int64)))
+    own = ["cell", "shard", "first", "order", "row"]
+    schema = StructType([*rows.schema.fields, *(StructField(n, IntegerType() if k < 2 else LongType()) for k, n in enumerate(own))])
 
     def deal(batches):
         counts, sizes = shared.value
-        part = TaskContext.get().partitionId()
-        rng, at = None, 0
+        part, rng, at = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             if rng is None:
+                layout = np.array(cells(total, shards, cell), np.int64)
                 rng = np.random.default_rng((seed, part, 1))
-                to = np.repeat(np.arange(len(sizes), dtype=np.int32), row_of_matrix(counts, sizes, part, seed))
+                to = np.repeat(np.arange(len(sizes)), row_of_matrix(counts, sizes, part, seed))
                 rng.shuffle(to)
             n = batch.num_rows
-            own, at = to[at : at + n], at + n
-            order = rng.integers(0, 1 << 62, n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(order)], names=[*names, "_cell", "_order"])
-
-    dealt = rows.mapInArrow(deal, schema)
-    bounds = spark.createDataFrame([(k, s, a) for k, (s, a, _) in enumerate(layout)], "_cell int, shard int, _first long")
-    inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_order", *names)) - 1
-    placed = dealt.withColumn("_at", inside).join(bounds, "_cell")
-    return placed.select(*names, "shard", (F.col("_first") + F.col("_at")).cast("long").alias("slot"))
+            own_cells, at = to[at : at + n], at + n
+            extra = (own_cells.astype(np.int32), layout[own_cells, 0].astype(np.int32), layout[own_cells, 1], rng.integers(0, 1 << 62, n), (part << 40) + np.arange(at - n, at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra)], names=[*names, *own])
+
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("order", "row")) - 1
+    dealt = rows.mapInArrow(deal, schema).withColumn("slot", (F.col("first") + inside).cast("long"))
+    return dealt.select(*names, "shard", "slot").toDF(*columns, "shard", "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
