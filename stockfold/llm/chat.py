@@ -6,7 +6,8 @@ chooses, for each turn, to keep or change its role, to append it to the turn
 before it, or to insert an empty turn first, at the least total cost.
 
 The programme's step is a min-plus matrix over the four states, so a long
-conversation is cut into blocks of BLOCK turn numbers: blocks are reduced to
+conversation is cut into blocks of BLOCK turn numbers (a crowded one finer):
+blocks are reduced to
 their matrices, the chain of matrices gives each block its first and last
 state, and blocks are then repaired apart from each other."""
 
@@ -24,6 +25,8 @@ from pyspark.sql.types import StructType
 from .common import small_batches, table
 
 BLOCK = 1024
+#: Stretches of a conversation that are hot have over 1/HOT_KEYS of all turns, and MOST_TURNS at least.
+HOT_KEYS, MOST_TURNS = 1024, 1 << 14
 ROLES = ("system", "user", "assistant")
 START = 3  # the state before any turn; other states are the last role's number
 NEXT = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
@@ -94,8 +97,40 @@ def opened(role: int, text: str) -> str:
 
 
 def blocked(turns: DataFrame) -> DataFrame:
-    number = F.coalesce(F.col("turn").cast("long"), F.lit(2**62))
-    return turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.floor(number / BLOCK).cast("long").alias("blk")).distinct()
+    """Turns with their block, an array that orders the blocks of a conversation:
+    (stretch of BLOCK numbers, -1, 0). Numbered rows that are equal in all columns
+    are one turn, met ``n`` times; equal rows without a number are turns each,
+    told apart by ``copy``.
+
+    A stretch in which a conversation has over 1/HOT_KEYS of all rows (say, that
+    of all rows without conv_id) is cut finer, by its numbers and then by a hash
+    of the turn: (stretch, number, bucket). Its turns of one number are in the
+    order of that hash. There are HOT_KEYS such stretches at most, so what is
+    broadcast has no more than HOT_KEYS * BLOCK rows."""
+    last = F.lit(2**62)
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    copies = F.when(F.col("turn").isNull(), F.col("n")).otherwise(1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    rows = rows.withColumn("n", F.when(F.col("turn").isNull(), 1).otherwise(F.col("n"))).withColumn("number", F.coalesce(F.col("turn").cast("long"), last))
+    rows = rows.withColumn("stretch", F.floor(F.col("number") / BLOCK).cast("long"))
+    share = max(rows.count() // HOT_KEYS + 1, MOST_TURNS)
+    by_number = rows.groupBy("conv_id", "stretch", "number").agg(F.count("*").alias("m"))
+    hot = by_number.groupBy("conv_id", "stretch").agg(F.sum("m").alias("all"), F.collect_list(F.struct("number", "m")).alias("of")).where(F.col("all") > share)
+    hot = hot.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.inline("of")).withColumn("buckets", F.ceil(F.col("m") / BLOCK)).withColumnRenamed("number", "x")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")) & (F.col("number") == F.col("x"))
+    rows = rows.join(F.broadcast(hot), same, "left")
+    bucket = F.pmod(F.xxhash64("role", "text", "copy"), F.col("buckets"))
+    blk = F.when(F.col("buckets").isNull(), F.array("stretch", F.lit(-1).cast("long"), F.lit(0).cast("long"))).otherwise(F.array("stretch", "number", bucket))
+    return rows.select("conv_id", "turn", "role", "text", "copy", "n", blk.alias("blk"))
+
+
+#: The turns of a block in order.
+OWN = ("turn", "role", "text", "copy", "n")
+
+
+def ordered(columns: tuple[str, ...]):
+    return F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("null"), *columns)))
 
 
 def chains(rows: DataFrame) -> DataFrame | None:
@@ -105,9 +140,8 @@ def chains(rows: DataFrame) -> DataFrame | None:
     if long_.isEmpty():
         return None
     part = rows.join(long_, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    # of a block's turns only the numbers, roles and, for ties, hashes of texts are gathered
-    own = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text")))
-    sums = part.groupBy("conv_id", "blk").agg(F.transform(own, lambda t: t["role"]).alias("roles"))
+    # ties of number and role go by the text, which does not matter here: only numbers and roles are gathered
+    sums = part.groupBy("conv_id", "blk").agg(F.transform(ordered(("turn", "role")), lambda t: t["role"]).alias("roles"))
 
     def reduced(batches):
         for batch in batches:
@@ -115,7 +149,8 @@ def chains(rows: DataFrame) -> DataFrame | None:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("blk"), pa.array(m, pa.list_(pa.float64()))], names=["conv_id", "blk", "m"])
 
     def chained(t: pa.Table) -> pa.Table:
-        t = t.sort_by("blk")
+        blk = t["blk"].to_pylist()
+        t = t.take(sorted(range(len(blk)), key=blk.__getitem__))
         steps = [np.array(m).reshape(4, 4) for m in t["m"].to_pylist()]
         cost, came = np.full(4, np.inf), []
         cost[START] = 0
@@ -134,26 +169,27 @@ def chains(rows: DataFrame) -> DataFrame | None:
         return pa.table({"conv_id": t["conv_id"], "blk": t["blk"], "first": pa.array(firsts[::-1], pa.int32()), "last": pa.array(lasts, pa.int32())})
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    made = sums.mapInArrow(reduced, f"conv_id {kind}, blk long, m array<double>")
-    return made.groupBy("conv_id").applyInArrow(chained, f"conv_id {kind}, blk long, first int, last int")
+    made = sums.mapInArrow(reduced, f"conv_id {kind}, blk array<long>, m array<double>")
+    return made.groupBy("conv_id").applyInArrow(chained, f"conv_id {kind}, blk array<long>, first int, last int")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """One row for each turn of (conv_id, turn, role, text): seq (its place in
-    the block), action (keep, relabel, merge, relabel+merge), out_role,
-    inserted (the role of an empty turn put before it, else null), ended (the
-    empty turns put after the last one) and piece. A conversation's pieces by
-    (blk, seq) make up its rendered text.
-
-    Turns are ordered by (turn, role, text), null turns last; rows equal in all
-    of these are one turn. Roles other than system, user and assistant, and
-    null ones, have to be relabelled; a null text is an empty one; a null
-    conv_id is a conversation like any other."""
+    the block), n (rows that are this turn), action (keep, relabel, merge,
+    relabel+merge), out_role, inserted (the role of an empty turn put before it,
+    else null), ended (the empty turns put after the last one) and piece. A
+    conversation's pieces by (blk, seq) make up its rendered text. An empty table
+    gives none; texts of any length are rendered whole.
+
+    Turns are ordered by (turn, role, text), null turns last. Numbered rows equal
+    in all of these are one turn, equal rows without a number are turns each.
+    Roles other than system, user and assistant, and null ones, have to be
+    relabelled; a null text is an empty one; a null conv_id is a conversation
+    like any other."""
     small_batches(turns.sparkSession)
     rows = blocked(turns)
     chain = chains(rows)
-    own = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text")))
-    blocks = rows.groupBy("conv_id", "blk").agg(own.alias("turns"))
+    blocks = rows.groupBy("conv_id", "blk").agg(ordered(OWN).alias("turns"))
     if chain is None:
         blocks = blocks.withColumns({"first": F.lit(START), "last": F.lit(None).cast("int"), "tail": F.lit(True)})
     else:
@@ -161,7 +197,7 @@ def formatted(turns: DataFrame) -> DataFrame:
         blocks = blocks.join(c, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("blk") == F.col("b")), "left").drop("c", "b")
         blocks = blocks.withColumn("tail", F.col("last").isNull()).withColumn("first", F.coalesce("first", F.lit(START)))
     kinds = {n: turns.schema[n].dataType.simpleString() for n in ("conv_id", "turn")}
-    schema = f"conv_id {kinds['conv_id']}, blk long, seq int, turn {kinds['turn']}, role string, action string, out_role string, inserted string, ended string, piece string"
+    schema = f"conv_id {kinds['conv_id']}, blk array<long>, seq int, n long, turn {kinds['turn']}, role string, action string, out_role string, inserted string, ended string, piece string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def write(batches):
@@ -185,7 +221,7 @@ def formatted(turns: DataFrame) -> DataFrame:
                         ended = CLOSE[label][1]
                         piece += "<|end|>\n" + "".join(opened(r, "") + "<|end|>\n" for r in ended)
                     action = "+".join(["relabel"] * changed + ["merge"] * merged) or "keep"
-                    out.append((conv, blk, k, t["turn"], t["role"], action, ROLES[label], ROLES[inserted] if inserted >= 0 else None, ",".join(ROLES[r] for r in ended) or None, piece))
+                    out.append((conv, blk, k, t["n"], t["turn"], t["role"], action, ROLES[label], ROLES[inserted] if inserted >= 0 else None, ",".join(ROLES[r] for r in ended) or None, piece))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, types.field(n).type) for n, c in zip(names, zip(*out))], names=names)
 
@@ -196,4 +232,4 @@ def formatted(turns: DataFrame) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = formatted(table(spark, sf_dir, "conversations"))
     sha = F.sha2(F.col("piece").cast("binary"), 256).alias("piece_sha256")
-    return got.select("conv_id", "turn", "role", "action", "out_role", "inserted", "ended", sha)
+    return got.select("conv_id", "turn", "role", "n", "action", "out_role", "inserted", "ended", sha)
