@@ -49,6 +49,33 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_many_languages(spark):
+    """More languages than one matrix takes, and a sample: as a plain version says."""
+    rng = random.Random(1)
+    alphabets = {f"l{k:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéñçø", 9)) for k in range(11)}
+    made = [(i, " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(12)), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 12)]
+    docs = spark.createDataFrame([*made, (None, made[0][1], None), (990, None, "l00"), (991, "", None), (992, "!?", "l03")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    key = lambda r: (r.doc_id or -1, r.lang_pred, round(r.score, 9))
+    got = [sorted(map(key, langid.identify(docs, model, at_once).collect())) for at_once in (64, 4, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == docs.count()
+    # brute force: counts by language, Bayes by hand
+    grams = lambda t: np.concatenate(list(langid.buckets(langid.folded(t))))
+    c = {x: np.full(langid.BUCKETS, langid.SMOOTH) for x in alphabets}
+    n = collections.Counter()
+    for _, t, lang in made:
+        np.add.at(c[lang], grams(t), 1)
+        n[lang] += 1
+    for i, t, _ in made[:40]:
+        odds = np.array([math.log(n[x] / sum(n.values())) + np.log(c[x] / c[x].sum())[grams(t)].sum() for x in sorted(alphabets)])
+        p = np.exp(odds - odds.max())
+        want = (sorted(alphabets)[int(odds.argmax())], float(p.max() / p.sum()))
+        mine = next(x for x in got[0] if x[0] == (i or -1) or (i == 0 and x[0] == -1))
+        assert i == 0 or (mine[1], mine[2]) == (want[0], pytest.approx(want[1], abs=1e-8))
+    sampled = langid.fit(docs, 40)
+    assert 0 < len(sampled.langs) <= 11 and langid.identify(docs, sampled).count() == docs.count()
+
+
 def test_language(spark, docs, none):
     german = [(i, "der hund und die katze schlafen nicht " * (1 + i % 3), "de") for i in range(40)]
     english = [(100 + i, "the dog and the cat never sleep " * (1 + i % 3), "en") for i in range(40)]
@@ -114,16 +141,40 @@ def test_exact(spark, docs, rows, none, budget):
 
 def test_hot_groups_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(common, "DEALT", 3)
+    monkeypatch.setattr(exact_dedup, "CHUNK", 4)
     rows = [(i, "one two three four five six" if i % 3 == 0 else f"text {i} is alone {i * i}") for i in range(90)]
-    rows += [(None, "one two three four five six"), (0, "one two three four five six"), (87, "one two three four five six"), (87, "one two three four five six")]
+    rows += [(None, "one two three four five six"), (0, "one two three four five six"), *[(87, "one two three four five six")] * 11, *[(None, "no id at all")] * 9]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = exact_dedup.verdicts(docs).collect()
-    hot = [r for r in got if r.group_size > 1]
-    assert len(got) == len(rows) and len(hot) == 34 and {r.keep_id for r in hot} == {87} and {r.group_size for r in hot} == {34}
-    assert [r.doc_id for r in hot if r.kept] == [87] and sum(r.kept for r in got) == 61
+    hot = [r for r in got if r.group_size > 9]
+    assert len(got) == len(rows) and len(hot) == 43 and {r.keep_id for r in hot} == {87} and {r.group_size for r in hot} == {43}
+    assert [r.doc_id for r in hot if r.kept] == [87] and sum(r.kept for r in got) == 62
+    assert sum(r.kept for r in got if r.group_size == 9) == 1
     near = simhash.groups(docs).collect()
-    assert len(near) == len(rows) and sum(r.component_id == 0 for r in near) == 34
-    assert set(simhash.groups(docs).columns) == {"doc_id", "fp", "component_id"}
+    assert len(near) == len(rows) and sum(r.component_id == 0 for r in near) == 43
+    assert sum(r.component_id is None for r in near) == 9
+
+
+def test_one_of_each_group_is_first(spark):
+    rows = [(5, "a b c d e f g h", "k1"), (None, "A b c d e f g h", "k0"), (5, "a B c d e f g h", "k2"), (None, "x y", "k3"), (None, "X y", "k4"), (9, None, "k5"), (8, "", "k6")]
+    got = {r.key: r for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()}
+    assert sorted(k for k, r in got.items() if r.first) == ["k1", "k3", "k6"]
+    assert got["k0"].component_id == 5 and got["k4"].component_id is None and got["k5"].component_id == 8
+
+
+def test_a_digest_names_one_content(monkeypatch):
+    class Short:
+        def __init__(self, data):
+            self.data = data
+
+        def digest(self):
+            return self.data[:1] * 32
+
+    monkeypatch.setattr(exact_dedup.hashlib, "sha256", Short)
+    b = exact_dedup.Bucket()
+    b.add(1, b"ab", 1, b"")
+    with pytest.raises(ValueError):
+        b.add(1, b"ac", 2, b"")
 
 
 def test_spill_files_go(tmp_path, monkeypatch):
@@ -246,6 +297,10 @@ def test_quality(spark, docs, none):
     assert all(r.predicted == r.label for r in got)
     assert quality.scored(docs, model).count() == docs.count() and quality.scored(none, model).count() == 0
     assert all(0 <= r.score <= 1 for r in quality.scored(docs, model).select("score").collect())
+    # a sample of rows, by number and by characters, and repeated labels and documents
+    for some in (quality.fit(frame, frame, fit_rows=60), quality.fit(frame, frame, fit_chars=60_000), quality.fit(frame.union(frame), frame.union(frame))):
+        right = [r.predicted == r.label for r in quality.scored(frame, some).collect()]
+        assert sum(right) > 0.95 * len(right)
     nothing = quality.fit(none, frame.select("doc_id", "label").limit(0))
     assert nothing is None and {r.score for r in quality.scored(docs, nothing).select("score").collect()} == {0.5}
 
@@ -308,10 +363,30 @@ def test_chat(spark, monkeypatch):
             cost = sum((chat.RELABEL if r[3] in chat.ROLES else chat.RELABEL_UNKNOWN) * ("relabel" in r[4]) + chat.MERGE * ("merge" in r[4]) + chat.INSERT * (r[6] is not None) + chat.INSERT * len((r[7] or "").split(",") if r[7] else []) for r in own)
             assert cost == least_cost([r[3] for r in own])
         out[block] = len(got)
-        assert len(got) == len(set(rows))
+        assert len(got) == len(set(rows)) and sum(r.n for r in chat.formatted(turns).collect()) == len(rows)
     assert chat.formatted(turns.limit(0)).count() == 0
 
 
+def test_crowded_conversation(spark, monkeypatch):
+    """Rows without conv_id, many texts of one number and equal rows without a number."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    monkeypatch.setattr(chat, "MOST_TURNS", 20)
+    rng = random.Random(6)
+    rows = [(None, rng.randrange(3), rng.choice(["user", "assistant"]), f"t{k}") for k in range(150)]
+    rows += [(7, None, "assistant", "yes")] * 30 + [(7, 0, "user", "well?")] + [(8, k, "user", "a") for k in range(3)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows) and len({tuple(r.blk) for r in got if r.conv_id is None}) > 10
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.blk, r.seq)):
+        by[r.conv_id].append(r)
+    for own in by.values():
+        assert legal("".join(r.piece for r in own))
+        numbers = [math.inf if r.turn is None else r.turn for r in own]
+        assert numbers == sorted(numbers)
+        cost = sum(chat.RELABEL * ("relabel" in r.action) + chat.MERGE * ("merge" in r.action) + chat.INSERT * (r.inserted is not None) + chat.INSERT * len((r.ended or "").split(",") if r.ended else []) for r in own)
+        assert cost == least_cost([r.role for r in own])
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
@@ -399,6 +474,10 @@ def test_sharding(spark, docs, rows, none, cell):
     assert {len(s) for s in by.values()} <= {len(rows) // 16, len(rows) // 16 + 1}
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.shuffled(none, 16, cell=cell).count() == 0
+    odd = docs.select("doc_id", F.lit("c").alias("_cell"), F.lit(1).alias("_order"), F.lit(2).alias("_at"), F.lit(3).alias("Shard"), F.create_map(F.lit("a"), F.lit(1)).alias("a.map"))
+    got = sharding.shuffled(odd, 3, cell=cell)
+    assert got.columns == ["doc_id", "_cell", "_order", "_at", "a.map", "shard", "slot"] and got.count() == len(rows)
+    assert {(r[1], r[2], r[3], r[4]["a"]) for r in got.collect()} == {("c", 1, 2, 1)}
 
 
 def test_matrix_is_uniform():
