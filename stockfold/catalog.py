@@ -6,15 +6,17 @@ metric samples (l6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import backoff_ms, fingerprint, reason, saturating_lag, shard
-from .operators import ledger, reads
+from .operators import ledger, log, reads
 from .plans import observe, replay
 from .schema import FIELDS, PAYLOAD
-from .sources import derived, files
-from .sources.derived import clean, conflicting, fenced_log, redelivered, samples, with_ledgers
+from .sources import files
+from .sources.derived import clean, conflicting, fenced_log, log_lines, redelivered, samples, with_ledgers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,9 +66,12 @@ def q_balances_batch(spark, sf_dir):
     return reads.balances_batch(clean(spark, sf_dir), rows_of(spark, KEYS, "pos int, owner_id string, sku string"))
 
 
-@query(f"SELECT o.owner_id, CAST(coalesce(sum(balance), 0) AS BIGINT) AS total_balance, count(balance) AS n_positions FROM (VALUES ('user-1'), ('user-2'), ('nobody')) o(owner_id) LEFT JOIN ({BALANCES.format('l1')}) b USING (owner_id) GROUP BY o.owner_id", "l1")
+@query(f"""SELECT o.owner_id, CAST(coalesce(sum(balance), 0) AS BIGINT) AS total_balance, count(balance) AS n_positions,
+    CASE WHEN count(balance) = 0 THEN '[]' ELSE CAST(to_json(list({{'sku': sku, 'balance': balance}} ORDER BY sku)) AS VARCHAR) END AS positions
+    FROM (VALUES ('user-1'), ('user-2'), ('nobody')) o(owner_id) LEFT JOIN ({BALANCES.format('l1')}) b USING (owner_id) GROUP BY o.owner_id""", "l1")
 def q_owner_summary(spark, sf_dir):
-    return reads.owner_summary(clean(spark, sf_dir), rows_of(spark, [("user-1",), ("user-2",), ("nobody",)], "owner_id string"))
+    got = reads.owner_summary(clean(spark, sf_dir), rows_of(spark, [("user-1",), ("user-2",), ("nobody",)], "owner_id string"))
+    return got.withColumn("positions", F.to_json("positions"))
 
 
 @query("SELECT sku, CAST(sum(delta) AS BIGINT) AS balance FROM l1 WHERE owner_id = 'user-1' GROUP BY sku", "l1")
@@ -142,6 +147,12 @@ def q_first_found(spark, sf_dir):
     return reads.first_found(rows_of(spark, IDS, "pos int, operation_id string"), [rows.where(F.col("sequence") >= SPLIT), rows.where(F.col("sequence") < SPLIT)])
 
 
+@query(f"SELECT pos, operation_id, operation_id IN (SELECT operation_id FROM l1 WHERE sequence >= {SPLIT}) OR operation_id IN (SELECT operation_id FROM l1 WHERE sequence < {SPLIT}) AS found FROM (VALUES {values(IDS)}) k(pos, operation_id)", "l1")
+def q_exists(spark, sf_dir):
+    rows = clean(spark, sf_dir)
+    return ledger.in_stores(rows_of(spark, IDS, "pos int, operation_id string"), [rows.where(F.col("sequence") >= SPLIT), rows.where(F.col("sequence") < SPLIT)])
+
+
 # ---- deduplication and conflicts ------------------------------------------
 
 
@@ -189,32 +200,6 @@ def q_status_counts(spark, sf_dir):
     return totals.unpivot([], ["applied", "duplicate"], "status", "n").where("n > 0")
 
 
-def one_batch(spark, sf_dir):
-    """A batch of which half was seen before, with every tenth row a second time."""
-    rows = clean(spark, sf_dir)
-    batch = rows.where(F.col("sequence").between(SPLIT // 10 - 50, SPLIT // 10 + 49)).withColumn("pos", F.col("sequence") - (SPLIT // 10 - 50))
-    return rows.where(F.col("sequence") < SPLIT // 10), batch.unionByName(batch.where("pos % 10 = 0").withColumn("pos", F.col("pos") + 100))
-
-
-CUT = SPLIT // 10
-
-
-@query(f"""SELECT pos, {OPS}, status, CAST(before + CASE WHEN status = 'applied' THEN sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS balance FROM (
-    SELECT r.*, coalesce(b.balance, 0) AS before, CASE WHEN sequence >= {CUT} AND row_number() OVER (PARTITION BY operation_id ORDER BY pos) = 1 THEN 'applied' ELSE 'duplicate' END AS status FROM (
-        SELECT *, sequence - {CUT - 50} AS pos FROM l1 WHERE sequence BETWEEN {CUT - 50} AND {CUT + 49}
-        UNION ALL SELECT *, sequence - {CUT - 50} + 100 AS pos FROM l1 WHERE sequence BETWEEN {CUT - 50} AND {CUT + 49} AND (sequence - {CUT - 50}) % 10 = 0) r
-    LEFT JOIN (SELECT owner_id, sku, sum(delta) AS balance FROM l1 WHERE sequence < {CUT} GROUP BY owner_id, sku) b USING (owner_id, sku))""", "l1")
-def q_batch_classify(spark, sf_dir):
-    seen, batch = one_batch(spark, sf_dir)
-    return ledger.classify(batch, seen, ledger.balances(seen))
-
-
-@query(f"SELECT operation_id FROM l2 WHERE owner_id LIKE 'supp-1%' GROUP BY operation_id HAVING count(DISTINCT ({PAY})) > 1 UNION SELECT a.operation_id FROM l2 a JOIN l2 b ON a.operation_id = b.operation_id WHERE a.owner_id LIKE 'supp-1%' AND b.owner_id LIKE 'supp-2%'", "l2")
-def q_batch_conflicts(spark, sf_dir):
-    rows = conflicting(spark, sf_dir)
-    return ledger.batch_conflicts(rows.where("owner_id like 'supp-1%'"), rows.where("owner_id like 'supp-2%'"))
-
-
 REQUESTS = f"""SELECT CAST(floor(sequence / 100) AS BIGINT) AS batch, sequence % 100 AS pos, {OPS} FROM l1
     UNION ALL SELECT CAST(floor(sequence / 100) AS BIGINT), sequence % 100 + 100, {OPS} FROM l1 WHERE sequence % 10 = 0
     UNION ALL SELECT CAST(floor(sequence / 100) AS BIGINT) + 1, sequence % 100 + 200, {OPS} FROM l1 WHERE sequence % 10 = 5"""
@@ -233,14 +218,14 @@ def requests(spark, sf_dir):
         coalesce(sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
         + CASE WHEN status = 'applied' THEN sum(CASE WHEN status = 'applied' THEN delta ELSE 0 END) OVER (PARTITION BY owner_id, sku, batch ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS balance
     FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY operation_id ORDER BY batch, pos) = 1 THEN 'applied' ELSE 'duplicate' END AS status FROM ({REQUESTS}))""", "l1")
-def q_batch_classify_all(spark, sf_dir):
+def q_batch_classify(spark, sf_dir):
     return ledger.classify_all(requests(spark, sf_dir))
 
 
 @query(f"""SELECT DISTINCT a.batch, a.operation_id FROM (SELECT *, CAST(substr(owner_id, 6) AS BIGINT) AS batch FROM l2) a
     JOIN (SELECT *, CAST(substr(owner_id, 6) AS BIGINT) AS batch FROM l2) b ON a.operation_id = b.operation_id AND b.batch <= a.batch
     WHERE {" OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in PAYLOAD)}""", "l2")
-def q_batch_conflicts_all(spark, sf_dir):
+def q_batch_conflicts(spark, sf_dir):
     """The rows of each owner are a batch, in the order of the owners' numbers."""
     return ledger.batch_conflicts_of_all(conflicting(spark, sf_dir).withColumn("batch", F.substring("owner_id", 6, 20).cast("long")))
 
@@ -251,19 +236,41 @@ FENCED = "record_type = 'operations' AND epoch = active"
 DEAD = "record_type = 'poison' OR (record_type = 'operations' AND epoch <> active)"
 
 
-@query("SELECT sequence, record_type, epoch FROM l4 WHERE sequence = 500", "l4")
+@query("SELECT sequence, record_type, epoch, value FROM l4_lines WHERE sequence = 500", "l4_lines")
 def q_log_read(spark, sf_dir):
-    return fenced_log(spark, sf_dir).where("sequence = 500").select("sequence", "record_type", "epoch")
+    return files.decode(log_lines(spark, sf_dir).where("sequence = 500")).select("sequence", "record_type", "epoch", "value")
 
 
-@query("SELECT sequence, record_type, coalesce(epoch, -1) AS epoch FROM l4 WHERE sequence > 700", "l4")
+@query("SELECT sequence, 0 AS pos, record_type, coalesce(epoch, -1) AS epoch, CASE WHEN record_type = 'operations' THEN operation_id END AS operation_id, CASE WHEN record_type = 'operations' THEN delta END AS delta FROM l4_lines WHERE sequence > 700", "l4_lines")
 def q_log_tail(spark, sf_dir):
-    return fenced_log(spark, sf_dir).where("sequence > 700").select("sequence", "record_type", F.coalesce("epoch", F.lit(-1)).alias("epoch"))
+    rows = replay.flat(files.decode(log_lines(spark, sf_dir).where("sequence > 700")))
+    return rows.select("sequence", "pos", "record_type", F.coalesce("epoch", F.lit(-1)).alias("epoch"), "operation_id", "delta")
 
 
-@query("SELECT max(sequence) AS last_sequence, count(*) AS messages, CAST(sum(strlen(operation_id)) AS BIGINT) AS bytes FROM l4", "l4")
+@query("SELECT max(sequence) AS last_sequence, count(*) AS messages, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM l4_lines", "l4_lines")
 def q_log_storage(spark, sf_dir):
-    return fenced_log(spark, sf_dir).agg(F.max("sequence").alias("last_sequence"), F.count("*").alias("messages"), F.sum(F.octet_length("operation_id").cast("long")).alias("bytes"))
+    return fenced_log(spark, sf_dir).agg(F.max("sequence").alias("last_sequence"), F.count("*").alias("messages"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"))
+
+
+MESSAGES = """SELECT batch, '{"record_type":"operations","epoch":7,"operations":[' || string_agg('{"operation_id":"' || operation_id || '","owner_id":"' || owner_id
+    || '","sku":"' || sku || '","delta":' || delta || ',"event_version":1}', ',' ORDER BY pos) || ']}' AS value FROM (
+    SELECT CAST(floor(sequence / 10) AS BIGINT) AS batch, sequence % 10 AS pos, * FROM l1 UNION ALL
+    SELECT CAST(floor(sequence / 10) AS BIGINT) + 1000000, sequence % 10, * FROM l1 WHERE sequence % 50 < 10) GROUP BY batch"""
+
+
+@query(f"""SELECT 900 + row_number() OVER (ORDER BY batch) AS sequence, 'operations-' || sha256(value) AS message_id, strlen(value) AS bytes
+    FROM (SELECT min(batch) AS batch, value FROM ({MESSAGES}) GROUP BY value)""", "l1")
+def q_log_append(spark, sf_dir):
+    """Batches of ten, every fifth sent a second time, behind a fence at 900."""
+    rows = clean(spark, sf_dir).select(F.floor(F.col("sequence") / 10).cast("long").alias("batch"), (F.col("sequence") % 10).alias("pos"), *FIELDS, (F.col("sequence") % 50 < 10).alias("again"))
+    rows = rows.unionByName(rows.where("again").withColumn("batch", F.col("batch") + 1_000_000))
+    last = rows_of(spark, [(900, "", "fence-900")], "sequence long, value string, message_id string")
+    return log.appended(last, log.messages(rows, 7)).select("sequence", "message_id", F.octet_length("value").cast("long").alias("bytes"))
+
+
+@query("""SELECT 901 AS sequence, '{"record_type":"fence","epoch":8,"owner":"writer-8"}' AS value, 'fence-901' AS message_id""")
+def q_log_fence(spark, sf_dir):
+    return log.fence(rows_of(spark, [(900,)], "sequence long"), 8, "writer-8").withColumn("sequence", F.col("sequence").cast("int"))
 
 
 @query("SELECT sequence, record_type, coalesce(epoch, -1) AS epoch, active FROM l4", "l4")
@@ -281,9 +288,19 @@ def q_stale(spark, sf_dir):
     return replay.stale(fenced_log(spark, sf_dir)).select("sequence", "epoch", "active")
 
 
-@query(f"SELECT 'ledger' AS source_stream, sequence AS source_sequence, CASE WHEN record_type = 'poison' THEN 'poison' ELSE 'stale' END AS reason FROM l4 WHERE {DEAD}", "l4")
+REASON = "CASE WHEN record_type = 'poison' THEN 'poison' ELSE 'writer epoch ' || epoch || ' rejected; active epoch is ' || active END"
+
+
+@query(f"SELECT 'ledger' AS source_stream, sequence AS source_sequence, {REASON} AS reason, value AS payload FROM l4_lines WHERE {DEAD}", "l4_lines")
 def q_dlq(spark, sf_dir):
-    return replay.dead_letters(fenced_log(spark, sf_dir))
+    return replay.dead_letters(fenced_log(spark, sf_dir)).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+@query(f"SELECT sequence, 0 AS pos, {OPS}, CAST(sum(delta) OVER (PARTITION BY owner_id, sku ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM l4 WHERE {FENCED}", "l4")
+def q_replay_lines(spark, sf_dir):
+    """From the log's lines, as stored, to running balances."""
+    got = replay.replay(files.decode(log_lines(spark, sf_dir)))
+    return got.select("sequence", "pos", *FIELDS, "balance")
 
 
 @query(f"SELECT sequence, {OPS}, CAST(sum(delta) OVER (PARTITION BY owner_id, sku ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM l4 WHERE {FENCED}", "l4")
@@ -293,8 +310,8 @@ def q_replay(spark, sf_dir):
 
 @query(f"SELECT owner_id, sku, CAST(sum(delta) AS BIGINT) AS balance FROM l4 WHERE {FENCED} GROUP BY owner_id, sku", "l4")
 def q_replay_balances(spark, sf_dir):
-    rows = replay.fenced(fenced_log(spark, sf_dir)).select("sequence", *FIELDS)
-    return ledger.balances(ledger.first_wins(rows, "sequence"))
+    rows = replay.fenced(fenced_log(spark, sf_dir)).select(*replay.ORDER, *FIELDS)
+    return ledger.balances(ledger.first_wins(rows, *replay.ORDER))
 
 
 @query(f"SELECT {OPS} FROM l4 WHERE {FENCED}", "l4")
@@ -355,12 +372,27 @@ LINES = [
     (3, '[{"operation_id":"b","owner_id":"o","sku":"s","delta":5}]'),
     (4, "{invalid-json"), (5, '{"record_type":"operations","epoch":8,"operations":[{"operation_id":"c","owner_id":"o","sku":"s","delta":0}]}'),
     (6, '{"record_type":"operations","epoch":8,"operations":[{"operation_id":"c","owner_id":"o","sku":"s","delta":3.5}]}'), (7, "[]"),
+    (8, '[{"operation_id":"d","owner_id":"o","sku":"s","delta":5,"event_version":null}]'), (9, '{"record_type":"operations","epoch":8,"operations":[]}'),
+    (10, '[{"operation_id":"e","owner_id":"o","sku":"has event_version : null","delta":"5"}]'), (11, '{"record_type":"fence","epoch":9}'), (12, '{"record_type":"other","epoch":9}'),
+    (13, '[{"operation_id":"f","owner_id":"o","sku":"has event_version : null","delta":5,"more":[1]},{"operation_id":"g","owner_id":"o","sku":"s","delta":6}]'), (14, ""), (15, "17"),
 ]
 
+#: Each element of a line's operations, with whether it is malformed and why it is invalid.
+ELEMENTS = f"""WITH lines(sequence, value) AS (VALUES {{values}}), parsed AS (SELECT sequence, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM lines),
+    kinds AS (SELECT sequence, j, CASE WHEN json_type(j) = 'ARRAY' THEN 'operations' WHEN json_type(j) = 'OBJECT' THEN j->>'record_type' END AS kind,
+        CASE WHEN json_type(j) = 'ARRAY' THEN 0 WHEN json_type(j->'epoch') IN ('BIGINT', 'UBIGINT') THEN (j->>'epoch')::BIGINT END AS epoch,
+        CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j->'operations') = 'ARRAY' THEN j->'operations' END AS ops FROM parsed),
+    each AS (SELECT sequence, unnest(from_json(ops, '["JSON"]')) AS o, generate_subscripts(from_json(ops, '["JSON"]'), 1) AS pos FROM kinds WHERE ops IS NOT NULL),
+    typed AS (SELECT sequence, pos, o, {' OR '.join(f"coalesce(json_type(o->'{c}'), '') <> 'VARCHAR'" for c in ('operation_id', 'owner_id', 'sku'))}
+        OR coalesce(json_type(o->'delta'), '') NOT IN ('BIGINT', 'UBIGINT') OR coalesce(json_type(o->'event_version'), 'UBIGINT') NOT IN ('BIGINT', 'UBIGINT') AS malformed FROM each),
+    checked AS (SELECT *, CASE WHEN malformed THEN NULL {' '.join(f"WHEN length(o->>'{c}') NOT BETWEEN 1 AND 128 THEN 'invalid {c}'" for c in ('operation_id', 'owner_id', 'sku'))}
+        WHEN (o->>'delta')::BIGINT = 0 THEN 'zero delta' WHEN coalesce((o->>'event_version')::BIGINT, 1) <> 1 THEN 'unsupported version' END AS why FROM typed),
+    sums AS (SELECT sequence, count(*) AS n, bool_or(malformed) AS malformed, min_by(why, pos) FILTER (why IS NOT NULL) AS why FROM checked GROUP BY sequence)"""
+
 
 @query("SELECT CAST(floor(sequence / 100.0) AS BIGINT) AS line, count(*) OVER w AS batch_size, row_number() OVER (w ORDER BY sequence) - 1 AS pos, operation_id, owner_id, sku, delta, event_version FROM l1 WINDOW w AS (PARTITION BY floor(sequence / 100.0))", "l1")
 def q_json_batches(spark, sf_dir):
-    got = files.parse_batches(files.batch_lines(clean(spark, sf_dir), "sequence", 100)).where("reason is null")
+    got = files.parse_batches(files.batch_lines(clean(spark, sf_dir), "sequence", 100)).where("refused is null")
     return got.select("line", F.col("batch_size").cast("long").alias("batch_size"), F.col("pos").cast("long").alias("pos"), *FIELDS)
 
 
@@ -375,9 +407,35 @@ def q_scalars(spark, sf_dir):
     )
 
 
-@query()
+def _with(elements: str, lines: list[tuple], body: str) -> str:
+    return elements.replace("{values}", values(lines)) + " " + body
+
+
+@query(_with(ELEMENTS, LINES, """SELECT CAST(sequence AS BIGINT) AS sequence, CASE WHEN good THEN kind ELSE 'poison' END AS record_type, CASE WHEN good THEN epoch END AS epoch,
+    CASE WHEN good AND kind = 'operations' THEN n END AS n_ops FROM (SELECT k.sequence, kind, epoch, coalesce(n, 0) AS n,
+        coalesce(epoch IS NOT NULL AND (kind = 'operations' AND ops IS NOT NULL AND NOT coalesce(malformed OR why IS NOT NULL, false) OR kind = 'fence' AND json_type(j->'owner') = 'VARCHAR'), false) AS good
+        FROM kinds k LEFT JOIN sums s ON s.sequence = k.sequence)"""))
 def q_decode_cascade(spark, sf_dir):
-    return files.decode(rows_of(spark, LINES, "sequence long, value string")).select("sequence", "record_type", "epoch", F.size("operations").alias("n_ops"))
+    got = files.decode(rows_of(spark, LINES, "sequence long, value string"))
+    return got.select("sequence", "record_type", "epoch", F.when(F.col("operations").isNotNull(), F.size("operations")).cast("long").alias("n_ops"))
+
+
+@query(_with(ELEMENTS, LINES, """SELECT CAST(l.sequence AS BIGINT) AS line, CASE WHEN json_type(j) = 'ARRAY' THEN coalesce(n, 0) END AS batch_size,
+    CASE WHEN json_type(j) IS DISTINCT FROM 'ARRAY' OR coalesce(s.malformed, false) THEN 'invalid JSON batch' WHEN coalesce(n, 0) = 0 THEN 'batch must contain 1..=10000 operations' ELSE s.why END AS refused,
+    coalesce(c.pos - 1, -1) AS pos FROM lines l JOIN parsed USING (sequence) LEFT JOIN sums s ON s.sequence = l.sequence
+    LEFT JOIN checked c ON c.sequence = l.sequence AND json_type(j) = 'ARRAY'"""))
+def q_request_refusals(spark, sf_dir):
+    """Malformed, empty and invalid request batches are refused as a whole, each with a reason."""
+    got = files.parse_batches(rows_of(spark, LINES, "line long, value string"))
+    return got.select("line", F.col("batch_size").cast("long").alias("batch_size"), "refused", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"))
+
+
+HEX = [("6162",), ("c3a9",), ("c328",), ("e282ac",), ("ff",), ("",), ("f0908d88",), ("eda080",)]
+
+
+@query(f"SELECT h, TRY(decode(unhex(h))) IS NOT NULL AS valid, coalesce(lower(hex(unhex(h))), '') AS again FROM (VALUES {values(HEX)}) t(h)")
+def q_utf8(spark, sf_dir):
+    return rows_of(spark, HEX, "h string").select("h", F.is_valid_utf8(F.unhex("h").cast("string")).alias("valid"), F.lower(F.hex(F.unhex("h"))).alias("again"))
 
 
 # ---- monitoring -----------------------------------------------------------
@@ -392,22 +450,33 @@ def q_percentiles(spark, sf_dir):
     return observe.percentiles(samples(spark, sf_dir), "instance", "value")
 
 
-@query("SELECT count(*) AS completed, count(DISTINCT operation_id) AS applied, count(*) - count(DISTINCT operation_id) AS duplicates FROM l3", "l3")
+@query("SELECT count(*) AS completed, count(DISTINCT operation_id) AS applied, count(*) - count(DISTINCT operation_id) AS duplicates, CAST(sum(CASE WHEN sequence % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS retries, round(count(*) / 12.5, 6) AS per_second FROM l3", "l3")
 def q_load_report(spark, sf_dir):
-    per_id = redelivered(spark, sf_dir).groupBy("operation_id").agg(F.count("*").alias("c"))
-    return per_id.agg(F.sum("c").alias("completed"), F.count("*").alias("applied"), F.sum(F.col("c") - 1).alias("duplicates"))
+    """A load of 12.5 seconds in which every fourth request took two attempts."""
+    attempts = F.when(F.col("sequence") % 4 == 0, 2).otherwise(1)
+    per_id = redelivered(spark, sf_dir).groupBy("operation_id").agg(F.count("*").alias("c"), F.sum(attempts - 1).alias("r"))
+    sums = per_id.agg(F.sum("c").alias("completed"), F.count("*").alias("applied"), F.sum(F.col("c") - 1).alias("duplicates"), F.sum("r").alias("retries"))
+    return sums.withColumn("per_second", F.round(F.col("completed") / F.lit(12.5), 6))
 
 
-@query("SELECT instance, CAST(floor(event_id / 100.0) AS BIGINT) AS cycle, round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0 / count(*), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM l6 GROUP BY 1, 2", "l6")
+@query("SELECT instance, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS total_ns, printf('%.9f', CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) / 1e9) AS seconds, round(CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) / 1e6 / count(*), 6) AS mean_ms FROM l6 GROUP BY instance", "l6")
+def q_durations(spark, sf_dir):
+    """Each sample's value as a request's milliseconds."""
+    ns = F.sum(F.round(F.col("value") * 1_000_000).cast("long"))
+    got = samples(spark, sf_dir).groupBy("instance").agg(ns.alias("total_ns"), F.count("*").alias("n"))
+    return got.select("instance", "total_ns", F.format_string("%.9f", F.col("total_ns") / F.lit(1e9)).alias("seconds"), F.round(F.col("total_ns") / F.lit(1e6) / F.col("n"), 6).alias("mean_ms"))
+
+
+@query("SELECT instance, CAST(floor(event_id / 100.0) AS BIGINT) AS cycle, round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0 / count(*), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, arg_max(value, event_id) - arg_min(value, event_id) AS delta, count(*) AS n FROM l6 GROUP BY 1, 2", "l6")
 def q_cycle_stats(spark, sf_dir):
     cycle = F.floor(F.col("event_id") / 100).cast("long").alias("cycle")
     mean = F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(100.0) / F.count("*"), 6)
-    return samples(spark, sf_dir).groupBy("instance", cycle).agg(mean.alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("*").alias("n"))
+    return samples(spark, sf_dir).groupBy("instance", cycle).agg(mean.alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.max_by("value", "event_id") - F.min_by("value", "event_id")).alias("delta"), F.count("*").alias("n"))
 
 
 def error_counts(spark, sf_dir):
-    w = Window.partitionBy("instance").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return samples(spark, sf_dir).withColumn("errors", F.sum("is_error").over(w))
+    rows = samples(spark, sf_dir)
+    return ledger.running_sum(rows, ["instance"], F.col("is_error"), "errors", observe.stretch("us"), "us", "event_id")
 
 
 @query("""SELECT event_id, instance, sum(increase) OVER (PARTITION BY instance ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) / 60.0 AS rate FROM (
@@ -431,56 +500,101 @@ def q_across_instances(spark, sf_dir):
     return samples(spark, sf_dir).groupBy(hour).agg(F.sum("is_error").alias("errors"), F.max("value").alias("max_value"), F.count_distinct("instance").alias("instances"))
 
 
-#: Invented metrics of the samples, so that each alert rule has something to hold on to.
+#: Invented metrics of the samples at whole minutes, so that each alert rule has something to hold on to.
 SIGNALS = {
-    "up": "min(is_error)", "quorum_available": "1 - max(is_error)", "writer_lease_owned": "max(event_id % 3)", "replication_lag": "max(event_id % 11)",
+    "up": "min(is_error)", "quorum_available": "1 - max(is_error)", "writer_lease_owned": "max(event_id % 3) % 2", "replication_lag": "max(event_id % 11)",
     "history_lag": "max(event_id % 2)", "unavailable_rate": "max(is_error)", "process_memory_bytes": "max(event_id % 5) * 536870912",
     "stream_bytes": "max(event_id % 100)", "stream_max_bytes": "max(100 * (event_id % 50 > 0)::int)",
 }
+MINUTE = "CAST(floor(us / 60000000) AS BIGINT) * 60000000"
+
+
+def _islands(name: str, series: str, condition: str, hold: int, of: str = "") -> str:
+    """Runs of a condition over a series (us, and instance for one that is by instance)."""
+    over, by = ("PARTITION BY instance", "instance, ") if of else ("", "")
+    return f"""SELECT '{name}' AS alert, {of or 'NULL'} AS instance, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
+        SELECT *, sum(CASE WHEN "on" THEN 0 ELSE 1 END) OVER ({over} ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce({condition}, false) AS "on" FROM ({series})))
+        WHERE "on" GROUP BY {by}island HAVING max(us) - min(us) >= {hold * 1_000_000}"""
+
+
+def _merged(expr: str) -> str:
+    return f"SELECT us, {expr} AS x FROM m GROUP BY us"
 
 
-def _rule(name: str, condition: str, hold: int) -> str:
-    condition = condition.replace("try_divide(stream_bytes, stream_max_bytes)", "stream_bytes / nullif(stream_max_bytes, 0)")
-    return f"""SELECT '{name}' AS alert, instance, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
-        SELECT *, sum(CASE WHEN "on" THEN 0 ELSE 1 END) OVER (PARTITION BY instance ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce({condition}, false) AS "on" FROM m))
-        WHERE "on" GROUP BY instance, island HAVING max(us) - min(us) >= {hold * 1_000_000}"""
+#: From the rule file, one by one: what is true of all instances together, but for a node that is down.
+RULES_SQL = [
+    _islands("NodeDown", "SELECT instance, us, up FROM m", "up = 0", 15, "instance"),
+    _islands("QuorumUnavailable", _merged("max(quorum_available)"), "x = 0", 5),
+    _islands("NoWriter", _merged("sum(writer_lease_owned)"), "x = 0", 10),
+    _islands("MultipleWriters", _merged("sum(writer_lease_owned)"), "x > 1", 2),
+    _islands("ReplicationLag", _merged("max(replication_lag)"), "x > 5", 15),
+    _islands("HistoryBackfillLag", _merged("max(history_lag)"), "x > 0", 300),
+    _islands("UnavailableResponses", _merged("sum(unavailable_rate)"), "x > 0", 30),
+    _islands("HighMemory", _merged("max(process_memory_bytes)"), "x > 1073741824", 300),
+    _islands("LogNearCapacity", _merged("max(stream_bytes / nullif(stream_max_bytes, 0))"), "x > 0.80", 60),
+    _islands("LogCritical", _merged("max(stream_bytes / nullif(stream_max_bytes, 0))"), "x > 0.95", 10),
+]
 
 
-@query("SELECT * FROM (WITH m AS (SELECT instance, us, " + ", ".join(f"{e} AS {n}" for n, e in SIGNALS.items()) + " FROM l6 GROUP BY instance, us) " + " UNION ALL ".join(_rule(*r) for r in observe.RULES) + ")", "l6")
+@query(f"SELECT * FROM (WITH m AS (SELECT instance, {MINUTE} AS us, " + ", ".join(f"{e} AS {n}" for n, e in SIGNALS.items()) + " FROM l6 GROUP BY 1, 2) " + " UNION ALL ".join(RULES_SQL) + ")", "l6")
 def q_rule_alerts(spark, sf_dir):
-    metrics = samples(spark, sf_dir).groupBy("instance", "us").agg(*(F.expr(e).alias(n) for n, e in SIGNALS.items()))
+    minute = (F.floor(F.col("us") / 60_000_000) * 60_000_000).cast("long").alias("us")
+    metrics = samples(spark, sf_dir).groupBy("instance", minute).agg(*(F.expr(e).alias(n) for n, e in SIGNALS.items()))
     return observe.rule_alerts(metrics)
 
 
+#: How far the live and the history reader are, for the metrics.
+CHECKPOINT, HISTORY = 900, 800
 METRICS = f"""SELECT 'balance_positions' AS metric, (SELECT count(*) FROM (SELECT DISTINCT owner_id, sku FROM l4 WHERE {FENCED})) AS value
-    UNION ALL SELECT 'history_entries', (SELECT count(*) FROM l4 WHERE {FENCED}) UNION ALL SELECT 'stream_messages', (SELECT count(*) FROM l4)
+    UNION ALL SELECT 'history_entries', (SELECT count(*) FROM l4 WHERE {FENCED}) UNION ALL SELECT 'disk_dedup_entries', (SELECT count(*) FROM l4 WHERE {FENCED})
+    UNION ALL SELECT 'stream_messages', (SELECT count(*) FROM l4) UNION ALL SELECT 'stream_bytes', (SELECT CAST(sum(strlen(value)) AS BIGINT) FROM l4_lines)
     UNION ALL SELECT 'dead_letters', (SELECT count(*) FROM l4 WHERE {DEAD}) UNION ALL SELECT 'writer_epoch', (SELECT max(active) FROM l4)
-    UNION ALL SELECT 'replication_last_sequence', (SELECT max(sequence) FROM l4)"""
+    UNION ALL SELECT 'replication_last_sequence', (SELECT max(sequence) FROM l4) UNION ALL SELECT 'replication_checkpoint', {CHECKPOINT}
+    UNION ALL SELECT 'replication_lag', (SELECT greatest(max(sequence) - {CHECKPOINT}, 0) FROM l4) UNION ALL SELECT 'history_checkpoint', {HISTORY}
+    UNION ALL SELECT 'history_lag', (SELECT greatest(max(sequence) - {HISTORY}, 0) FROM l4)
+    UNION ALL SELECT 'operations_applied_total', (SELECT count(DISTINCT operation_id) FROM ({REQUESTS}))
+    UNION ALL SELECT 'operations_duplicate_total', (SELECT count(*) - count(DISTINCT operation_id) FROM ({REQUESTS}))
+    UNION ALL SELECT 'pipeline_operations_total', (SELECT count(*) FROM ({REQUESTS})) UNION ALL SELECT 'pipeline_batch_requests_total', (SELECT count(DISTINCT batch) FROM ({REQUESTS}))
+    UNION ALL SELECT 'conflicts_total', (SELECT count(*) FROM (SELECT operation_id FROM l2 GROUP BY operation_id HAVING count(DISTINCT ({PAY})) > 1))"""
 
 
-@query(METRICS, "l4")
+@query(METRICS, "l4_lines", "l2")
 def q_cardinality(spark, sf_dir):
+    """The metrics that follow from data: the log's, the requests' and the conflicts of the second ledger."""
     rows = replay.active_epochs(fenced_log(spark, sf_dir))
     live = (F.col("record_type") == "operations") & (F.col("epoch") == F.col("active"))
     dead = (F.col("record_type") == "poison") | ((F.col("record_type") == "operations") & (F.col("epoch") != F.col("active")))
     # positions are made distinct by a first aggregation that also carries the other sums
     part = rows.groupBy(F.when(live, F.col("owner_id")).alias("o"), F.when(live, F.col("sku")).alias("s")).agg(
-        F.count_if(live).alias("h"), F.count("*").alias("m"), F.count_if(dead).alias("d"), F.max("active").alias("e"), F.max("sequence").alias("q"))
-    one = part.agg(F.count("o").alias("balance_positions"), F.sum("h").alias("history_entries"), F.sum("m").alias("stream_messages"),
+        F.count_if(live).alias("h"), F.count("*").alias("m"), F.count_if(dead).alias("d"), F.max("active").alias("e"), F.max("sequence").alias("q"), F.sum(F.octet_length("payload").cast("long")).alias("b"))
+    one = part.agg(F.count("o").alias("balance_positions"), F.sum("h").alias("history_entries"), F.sum("h").alias("disk_dedup_entries"), F.sum("m").alias("stream_messages"), F.sum("b").alias("stream_bytes"),
         F.sum("d").alias("dead_letters"), F.max("e").alias("writer_epoch"), F.max("q").alias("replication_last_sequence"))
-    return one.unpivot([], one.columns, "metric", "value")
-
-
-@query(f"SELECT concat('warehouse_', metric, ' ', value) AS value FROM ({METRICS})", "l4")
+    last = F.col("replication_last_sequence")
+    at = {"replication_checkpoint": CHECKPOINT, "history_checkpoint": HISTORY}
+    one = one.withColumns({n: F.lit(v).cast("long") for n, v in at.items()} | {"replication_lag": saturating_lag(last, F.lit(CHECKPOINT)).cast("long"), "history_lag": saturating_lag(last, F.lit(HISTORY)).cast("long")})
+    asked = requests(spark, sf_dir)
+    ids = asked.groupBy("operation_id").agg(F.count("*").alias("c")).agg(F.count("*").alias("operations_applied_total"), F.sum(F.col("c") - 1).alias("operations_duplicate_total"), F.sum("c").alias("pipeline_operations_total"))
+    batches = asked.select("batch").distinct().agg(F.count("*").alias("pipeline_batch_requests_total"))
+    fights = ledger.conflicts(conflicting(spark, sf_dir)).agg(F.count("*").alias("conflicts_total"))
+    rows = [x.unpivot([], x.columns, "metric", "value") for x in (one, ids, batches, fights)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"""SELECT '# TYPE warehouse_' || metric || CASE WHEN metric LIKE '%_total' THEN ' counter' ELSE ' gauge' END || chr(10) || 'warehouse_' || metric || ' ' || value AS value FROM ({METRICS})""", "l4_lines", "l2")
 def q_metrics(spark, sf_dir):
     return observe.exposition(q_cardinality(spark, sf_dir))
 
 
-@query(f"SELECT metric, CAST(value AS DOUBLE) AS value FROM ({METRICS})", "l4")
+@query(f"SELECT metric, CAST(value AS DOUBLE) AS value FROM ({METRICS})", "l4_lines", "l2")
 def q_parse_metrics(spark, sf_dir):
     return observe.parse(q_metrics(spark, sf_dir))
 
 
+@query(f"SELECT CAST({CHECKPOINT} AS BIGINT) AS checkpoint, max(sequence) AS last_sequence, greatest(max(sequence) - {CHECKPOINT}, 0) AS lag, max(sequence) <= {CHECKPOINT} AS ready FROM l4", "l4")
+def q_readiness(spark, sf_dir):
+    return observe.readiness(rows_of(spark, [(CHECKPOINT,)], "sequence long"), fenced_log(spark, sf_dir))
+
+
 # ---- generators -----------------------------------------------------------
 
 
@@ -493,3 +607,9 @@ def q_generate(spark, sf_dir):
 @query("SELECT i AS slot, CASE WHEN i % 5 = 4 THEN 'write' ELSE 'read' END AS kind FROM range(1000) t(i)")
 def q_mixed_schedule(spark, sf_dir):
     return spark.range(1000).select(F.col("id").alias("slot"), F.when(F.col("id") % 5 == 4, "write").otherwise("read").alias("kind"))
+
+
+@query("SELECT CAST(count(*) FILTER (kind = 'read') AS BIGINT) AS reads, CAST(count(*) FILTER (kind = 'write') AS BIGINT) AS writes, count(*) FILTER (kind = 'write') / count(*) AS share, count(*) FILTER (kind = 'write') * 5 = count(*) AS as_planned FROM (SELECT CASE WHEN i % 5 = 4 THEN 'write' ELSE 'read' END AS kind FROM range(1000) t(i))")
+def q_mixed_share(spark, sf_dir):
+    got = q_mixed_schedule(spark, sf_dir).agg(F.count_if(F.col("kind") == "read").alias("reads"), F.count_if(F.col("kind") == "write").alias("writes"))
+    return got.withColumn("share", F.col("writes") / (F.col("reads") + F.col("writes"))).withColumn("as_planned", F.col("writes") * 5 == F.col("reads") + F.col("writes"))

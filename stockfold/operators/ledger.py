@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..functions.scalar import same
 from ..schema import FIELDS, MOST_BATCH, PAYLOAD
 
 
+#: Sequences of a stretch of running sums.
+SPAN = 1 << 20
+
+
 def first_wins(ops: DataFrame, *order: str | Column) -> DataFrame:
     """The first row of each id. ``min_by`` keeps one row an id and task before
     the exchange, which a window would not."""
@@ -39,9 +45,25 @@ def snapshot_plus_tail(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
     return balances(both)
 
 
-def running_balances(ops: DataFrame, *order: str) -> DataFrame:
-    w = Window.partitionBy("owner_id", "sku").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ops.withColumn("balance", F.sum("delta").over(w))
+def running_sum(rows: DataFrame, keys: list[str], value: Column, out: str, stretch: Column, *order: str) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` over the rows of the same keys up to each
+    row. ``stretch`` must grow with the order: sums are taken within stretches,
+    and the stretches' own sums, one row each, are carried forward. So the rows of
+    a hot key are in as many tasks as it has stretches."""
+    rows = rows.withColumn("_stretch", stretch)
+    own = [*keys, "_stretch"]
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*own).agg(F.sum(value).alias("_top")).withColumn("_carried", F.coalesce(F.sum("_top").over(before), F.lit(0))).drop("_top")
+    tops = tops.toDF(*(f"_k{k}" for k in range(len(own))), "_carried")
+    inside = F.sum(value).over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    match = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"_k{k}")) for k, n in enumerate(own)))
+    names = [n for n in rows.columns if n != "_stretch"]
+    return rows.withColumn(out, inside).join(tops, match).withColumn(out, F.col(out) + F.col("_carried")).select(*names, out)
+
+
+def running_balances(ops: DataFrame, *order: str, span: int = SPAN) -> DataFrame:
+    """Adds balance, the position's after each row; ``order`` begins with a number."""
+    return running_sum(ops, ["owner_id", "sku"], F.col("delta"), "balance", F.floor(F.col(order[0]) / span), *order)
 
 
 def fresh(ops: DataFrame, seen: DataFrame) -> DataFrame:
@@ -70,15 +92,7 @@ def classify(batch: DataFrame, seen: DataFrame, state: DataFrame) -> DataFrame:
     operations seen and the published balances. Duplicates, of earlier batches
     or within this one, report the balance from before the batch; applied rows
     the running one. A batch has MOST_BATCH rows at most."""
-    first = F.row_number().over(Window.partitionBy("operation_id").orderBy("pos")) == 1
-    known = seen.select("operation_id", F.lit(True).alias("_seen"))
-    rows = batch.withColumn("_first", first).join(known, "operation_id", "left")
-    rows = rows.withColumn("status", F.when(F.col("_first") & F.col("_seen").isNull(), "applied").otherwise("duplicate"))
-    rows = rows.join(state.select("owner_id", "sku", F.col("balance").alias("_before")), ["owner_id", "sku"], "left")
-    w = Window.partitionBy("owner_id", "sku").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = F.sum(F.when(F.col("status") == "applied", F.col("delta")).otherwise(0)).over(w)
-    balance = F.coalesce("_before", F.lit(0)) + F.when(F.col("status") == "applied", added).otherwise(0)
-    return rows.withColumn("balance", balance).select("pos", *FIELDS, "status", "balance")
+    return classify_all(batch.withColumn("batch", F.lit(0).cast("long")), seen, state).drop("batch")
 
 
 def batch_conflicts_of_all(ops: DataFrame) -> DataFrame:
@@ -90,25 +104,47 @@ def batch_conflicts_of_all(ops: DataFrame) -> DataFrame:
     return rows.withColumn("_low", F.min("_p").over(w)).withColumn("_high", F.max("_p").over(w)).where("_low <> _high").select("batch", "operation_id").distinct()
 
 
-def classify_all(ops: DataFrame) -> DataFrame:
+def classify_all(ops: DataFrame, seen: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
     """As ``classify``, for all batches of a ledger (batch, pos, operation) at
-    once, each against all batches before it. All batches are accepted ones."""
+    once, each against all batches before it (and ``seen`` and ``state``, if
+    given, before them all). All batches are accepted ones."""
     first = F.row_number().over(Window.partitionBy("operation_id").orderBy("batch", "pos")) == 1
-    rows = ops.withColumn("status", F.when(first, "applied").otherwise("duplicate"))
+    rows = ops.withColumn("_first", first)
+    if seen is not None:
+        rows = rows.join(seen.select("operation_id").distinct().withColumn("_seen", F.lit(True)), "operation_id", "left")
+        rows = rows.withColumn("_first", F.col("_first") & F.col("_seen").isNull())
+    rows = rows.withColumn("status", F.when(F.col("_first"), "applied").otherwise("duplicate"))
+    start = F.lit(0)
+    if state is not None:
+        rows = rows.join(state.select("owner_id", "sku", F.col("balance").alias("_start")), ["owner_id", "sku"], "left")
+        start = F.coalesce("_start", F.lit(0))
     delta = F.when(F.col("status") == "applied", F.col("delta")).otherwise(0)
     w = Window.partitionBy("owner_id", "sku").orderBy("batch")
-    before = F.coalesce(F.sum(delta).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = start + F.coalesce(F.sum(delta).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     added = F.sum(delta).over(Window.partitionBy("owner_id", "sku", "batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     balance = before + F.when(F.col("status") == "applied", added).otherwise(0)
     return rows.withColumn("balance", balance).select("batch", "pos", *FIELDS, "status", "balance")
 
 
+def request(keys: DataFrame) -> DataFrame:
+    """Keys of a request, to be broadcast: 1 to MOST_BATCH rows, which is checked."""
+    n = keys.limit(MOST_BATCH + 1).count()
+    if not 1 <= n <= MOST_BATCH:
+        raise ValueError(f"a request has 1 to {MOST_BATCH} keys")
+    return keys
+
+
 def in_order(keys: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Positional lookup: ``keys`` (pos, key columns) is a request of MOST_BATCH
-    rows at most, which is checked, so it is broadcast."""
-    if keys.limit(MOST_BATCH + 1).count() > MOST_BATCH:
-        raise ValueError(f"a request has {MOST_BATCH} keys at most")
+    """Positional lookup of a request's ``keys`` (pos, key columns)."""
+    request(keys)
     if how == "inner":
         return right.join(F.broadcast(keys), on, "inner")
     found = right.join(F.broadcast(keys.select(*on).distinct()), on, "left_semi")
     return keys.join(found, on, "left")
+
+
+def in_stores(keys: DataFrame, stores: list[DataFrame]) -> DataFrame:
+    """Whether any store has an id: ``keys`` (pos, operation_id) with found."""
+    hits = [x.join(F.broadcast(request(keys).select("operation_id").distinct()), "operation_id", "left_semi").select("operation_id") for x in stores]
+    some = reduce(DataFrame.unionByName, hits).groupBy("operation_id").agg(F.lit(True).alias("_hit"))
+    return keys.join(some, "operation_id", "left").select("pos", "operation_id", F.coalesce("_hit", F.lit(False)).alias("found"))

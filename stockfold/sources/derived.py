@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import FIELDS
+
 #: Sequence distance of the redelivered copies in the third ledger.
 REDELIVERY = 1_000_000
 
@@ -24,9 +26,12 @@ LEDGERS = {
     "l4_act": """SELECT *, coalesce(max(CASE WHEN record_type = 'fence' THEN fence_epoch END) OVER (ORDER BY sequence), 0) AS active FROM l4_raw""",
     "l4": """SELECT *, CASE WHEN record_type = 'fence' THEN fence_epoch WHEN record_type = 'poison' THEN NULL
         WHEN sequence % 97 = 0 THEN active - 1 ELSE active END AS epoch FROM l4_act""",
+    "l4_lines": """SELECT *, CASE record_type WHEN 'fence' THEN '{"record_type":"fence","epoch":' || epoch || ',"owner":"writer-' || epoch || '"}'
+        WHEN 'poison' THEN '{poison-' || sequence ELSE '{"record_type":"operations","epoch":' || epoch || ',"operations":[{"operation_id":"' || operation_id
+        || '","owner_id":"' || owner_id || '","sku":"' || sku || '","delta":' || delta || ',"event_version":1}]}' END AS value FROM l4""",
     "l6": """SELECT event_id, epoch_us(ts) AS us, user_id % 2 AS instance, CAST(event_type = 'error' AS BIGINT) AS is_error, value FROM events""",
 }
-NEEDS = {"l3": ["l1"], "l4": ["l1", "l4_raw", "l4_act"]}
+NEEDS = {"l3": ["l1"], "l4": ["l1", "l4_raw", "l4_act"], "l4_lines": ["l1", "l4_raw", "l4_act", "l4"]}
 
 
 def with_ledgers(body: str, *names: str) -> str:
@@ -76,7 +81,20 @@ def fenced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("sequence") % 500 == 0, "fence").when(F.col("sequence") % 101 == 0, "poison").otherwise("operations")
     rows = clean(spark, sf_dir).withColumn("record_type", kind)
     epoch = F.when(kind == "fence", fence).when(kind == "poison", F.lit(None)).when(F.col("sequence") % 97 == 0, fence - 1).otherwise(fence)
-    return rows.withColumn("epoch", epoch.cast("long"))
+    rows = rows.withColumn("epoch", epoch.cast("long")).withColumn("pos", F.lit(0))
+    return rows.withColumn("payload", F.encode(line(), "UTF-8"))
+
+
+def line() -> Column:
+    """A record of the fenced log as the text that a writer sends, or a broken one."""
+    fence = F.to_json(F.struct("record_type", "epoch", F.concat(F.lit("writer-"), "epoch").alias("owner")))
+    ops = F.to_json(F.struct("record_type", "epoch", F.array(F.struct(*FIELDS)).alias("operations")))
+    return F.when(F.col("record_type") == "fence", fence).when(F.col("record_type") == "operations", ops).otherwise(F.concat(F.lit("{poison-"), "sequence"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fenced log as it is stored: sequence and value."""
+    return fenced_log(spark, sf_dir).select("sequence", F.decode("payload", "UTF-8").alias("value"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,49 +1,77 @@
 """File sources and sinks of the ledger: request batches as JSON lines, log
-records as JSON, imports of checksummed binary files."""
+records as JSON, load datasets with their manifest, soak samples as CSV.
+
+JSON is taken strictly, through VARIANT: a number in quotes, a fraction, an
+explicit null or a missing field is not the integer or text that is asked for.
+Unknown fields are passed over."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bad_identifier, batch_size_ok, reason
-from ..schema import FIELDS, LOG_RECORD, MOST_DELTA, OPERATION
+from ..functions.scalar import bad_identifier
+from ..schema import FIELDS, LOG_RECORD, MOST_BATCH, MOST_DELTA, OPERATION
+
+
+def part(v: Column, name: str, kind: str, sql: str) -> Column:
+    """A field of a VARIANT if it is of that kind, else null."""
+    x = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(x) == kind, F.try_variant_get(v, f"$.{name}", sql))
+
+
+def text(v: Column, name: str) -> Column:
+    return part(v, name, "STRING", "string")
+
+
+def whole(v: Column, name: str) -> Column:
+    return part(v, name, "BIGINT", "long")
 
-TAGGED = "record_type string, epoch long, owner string, operations array<struct<operation_id:string,owner_id:string,sku:string,delta:long,event_version:long>>"
 
+def elements(v: Column) -> Column:
+    """A VARIANT's elements if it is an array, else null."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
 
-def versioned(operations):
-    """An absent event_version is 1. JSON null for it stays an error: its text then has the key."""
-    return F.transform(operations, lambda o: o.withField("event_version", F.coalesce(o["event_version"], F.lit(1).cast("long"))))
+
+def operation(v: Column) -> Column:
+    """An operation from a VARIANT; what is not of the field's type is null. Only
+    an absent event_version is 1."""
+    version = F.when(F.try_variant_get(v, "$.event_version", "variant").isNull(), F.lit(1).cast("long")).otherwise(whole(v, "event_version"))
+    return F.struct(*(text(v, n).alias(n) for n in ("operation_id", "owner_id", "sku")), whole(v, "delta").alias("delta"), version.alias("event_version"))
+
+
+def malformed(o: Column) -> Column:
+    """Whether a parsed operation lacks a field or has one of another type."""
+    return o["operation_id"].isNull() | o["owner_id"].isNull() | o["sku"].isNull() | o["delta"].isNull() | o["event_version"].isNull()
+
+
+def why(o: Column) -> Column:
+    """``reason`` for an element of an array."""
+    bad = [(bad_identifier(o[n]), f"invalid {n}") for n in ("operation_id", "owner_id", "sku")]
+    bad += [(o["delta"] == 0, "zero delta"), (~o["delta"].between(-MOST_DELTA, MOST_DELTA), "delta out of range"), (o["event_version"] != 1, "unsupported version")]
+    return F.coalesce(*(F.when(b, r) for b, r in bad))
 
 
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Adds record_type, epoch, owner and operations of a log line by the first
-    form that fits: a tagged object, a bare array (epoch 0), else poison. One
-    invalid operation, an oversized or empty batch, an explicit null version or
-    a missing field makes the whole record poison."""
+    """Adds record_type, epoch, owner, operations and payload (the line's bytes)
+    of a log line by the first form that fits: a tagged object, a bare array
+    (epoch 0), else poison. One malformed or invalid operation makes the whole
+    record poison; a record may have no operations, or any number."""
     c = F.col(column)
-    tagged, bare = F.from_json(c, TAGGED), F.from_json(c, f"array<{OPERATION.simpleString()}>")
-    is_array = F.trim(c).startswith("[")
-    kind = F.when(is_array, "operations").otherwise(tagged["record_type"])
-    ops = versioned(F.when(is_array, bare).otherwise(tagged["operations"]))
-    rows = lines.withColumns({"_kind": kind, "_ops": ops, "_epoch": F.when(is_array, F.lit(0).cast("long")).otherwise(tagged["epoch"]), "_owner": tagged["owner"]})
-    null_version = c.rlike(r'"event_version"\s*:\s*null')
-    invalid = F.exists("_ops", lambda o: F.coalesce(o.isNull(), F.lit(True)) | valid_reason(o).isNotNull())
-    good_ops = (F.col("_kind") == "operations") & F.col("_epoch").isNotNull() & batch_size_ok(F.col("_ops")) & ~invalid & ~null_version
-    good_fence = (F.col("_kind") == "fence") & F.col("_epoch").isNotNull() & F.col("_owner").isNotNull()
+    rows = lines.withColumn("_v", F.try_parse_json(c))
+    v = F.col("_v")
+    bare = F.schema_of_variant(v).startswith("ARRAY")
+    rows = rows.withColumn("_bare", F.coalesce(bare, F.lit(False))).withColumn("_kind", F.when(F.col("_bare"), "operations").otherwise(text(v, "record_type")))
+    listed = F.coalesce(F.when(F.col("_bare"), elements(v)), elements(F.try_variant_get(v, "$.operations", "variant")))
+    rows = rows.withColumn("_ops", F.transform(listed, operation)).withColumn("_epoch", F.when(F.col("_bare"), F.lit(0).cast("long")).otherwise(whole(v, "epoch"))).withColumn("_owner", text(v, "owner"))
+    invalid = F.exists("_ops", lambda o: malformed(o) | why(o).isNotNull())
+    good_ops = (F.col("_kind") == "operations") & (F.col("_epoch") >= 0) & F.col("_ops").isNotNull() & ~invalid
+    good_fence = (F.col("_kind") == "fence") & (F.col("_epoch") >= 0) & F.col("_owner").isNotNull()
     good = F.coalesce(good_ops | good_fence, F.lit(False))
     return rows.withColumns({
-        "record_type": F.when(good, F.col("_kind")).otherwise("poison"), "epoch": F.when(good, F.col("_epoch")), "owner": F.when(good, F.col("_owner")),
-        "operations": F.when(good & (F.col("_kind") == "operations"), F.col("_ops")), "payload": F.when(~good, F.encode(c, "UTF-8")),
-    }).drop("_kind", "_ops", "_epoch", "_owner")
-
-
-def valid_reason(o):
-    """``reason`` for an element of an array."""
-    bad = [o[n].isNull() | bad_identifier(o[n]) for n in ("operation_id", "owner_id", "sku")]
-    bad += [o["delta"].isNull(), o["delta"] == 0, ~o["delta"].between(-MOST_DELTA, MOST_DELTA), o["event_version"] != 1]
-    return F.coalesce(*(F.when(b, F.lit("invalid")) for b in bad))
+        "record_type": F.when(good, F.col("_kind")).otherwise("poison"), "epoch": F.when(good, F.col("_epoch")), "owner": F.when(good & (F.col("_kind") == "fence"), F.col("_owner")),
+        "operations": F.when(good & (F.col("_kind") == "operations"), F.col("_ops")), "payload": F.encode(c, "UTF-8"),
+    }).drop("_v", "_bare", "_kind", "_ops", "_epoch", "_owner")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -54,15 +82,27 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_batches(lines: DataFrame) -> DataFrame:
     """Request batches (line, value) by element: line, batch_size, pos, the
-    operation and its reason if invalid."""
-    ops = versioned(F.from_json("value", f"array<{OPERATION.simpleString()}>"))
-    rows = lines.select("line", F.size(ops).alias("batch_size"), F.posexplode(ops).alias("pos", "o")).select("line", "batch_size", "pos", "o.*")
-    return rows.withColumn("reason", reason())
+    operation, and refused: why the whole batch is refused, null if it is not.
 
+    The checks in order: JSON of an array of operations, 1 to MOST_BATCH of them,
+    then each operation in turn. A line that is no array has one row without pos."""
+    v = F.try_parse_json("value")
+    rows = lines.withColumn("_ops", F.transform(elements(v), operation))
+    bad = F.filter(F.transform("_ops", why), lambda r: r.isNotNull())
+    refused = F.coalesce(
+        F.when(F.col("_ops").isNull() | F.exists("_ops", malformed), "invalid JSON batch"),
+        F.when(~F.size("_ops").between(1, MOST_BATCH), f"batch must contain 1..={MOST_BATCH} operations"), F.get(bad, F.lit(0)),
+    )
+    rows = rows.select("line", F.when(F.col("_ops").isNotNull(), F.size("_ops")).alias("batch_size"), refused.alias("refused"), "_ops")
+    # only now, so that a batch is judged once and not for each of its rows
+    return rows.select("line", "batch_size", "refused", F.posexplode_outer("_ops").alias("pos", "o")).select("line", "batch_size", "pos", "o.*", "refused")
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One request batch a line of text."""
-    return parse_batches(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+def read_batches(spark: SparkSession, path: str, columns: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """One request batch a line of text; ``columns`` of the operations (all, or
+    only ids, say): the others are not kept."""
+    got = parse_batches(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+    return got.select("line", "batch_size", "pos", *columns, "refused")
 
 
 def batch_lines(ops: DataFrame, by: str, batch: int) -> DataFrame:
@@ -80,3 +120,24 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Bytes, SHA-256 and CRC-32 of each file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.crc32("content").alias("crc32"))
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Soak samples as CSV with a header."""
+    samples.write.option("header", True).csv(path)
+
+
+def read_samples(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def log_lines(records: DataFrame) -> DataFrame:
+    """Records (sequence, record_type, epoch, owner, operations) as log lines
+    (sequence, value) that ``decode`` reads; a poison record has its payload."""
+    ops = F.to_json(F.struct("record_type", "epoch", "operations"))
+    fence = F.to_json(F.struct("record_type", "epoch", "owner"))
+    value = F.when(F.col("record_type") == "fence", fence).when(F.col("record_type") == "operations", ops).otherwise(F.decode("payload", "UTF-8"))
+    return records.select("sequence", value.alias("value"))
+
+
+OPERATIONS = f"array<{OPERATION.simpleString()}>"
