@@ -1,20 +1,29 @@
 """Interpolated modified Kneser-Ney language model (bigrams) over a corpus that
 no worker could hold the model of.
 
-Texts are read in blocks of BLOCK_BYTES. A block's distinct bigrams and words,
-with their counts in training texts, go as packed arrays to the parts that own
-them by hash. Each part adds up what all blocks sent and answers each block
-with totals in the order asked. A block's answers are its slice of the model:
-arrays sorted by hash, written to a file that the scoring worker maps into
-memory. Nothing of the model is broadcast but a dozen totals.
+Fitting: training texts are read in blocks of BLOCK_BYTES. A block's distinct
+bigrams and words with their counts go as packed arrays to the parts that own
+them by hash. Each part adds up what all blocks sent and stores its share of the
+model: sorted arrays of hashes with their counts, a row of a Parquet table in the
+shared folder. ``Model`` names that folder; it can be loaded again at any time.
+
+Scoring: texts are read once, again in blocks. A block asks each part for what it
+has of its bigrams and words; the worker that has a part puts its arrays into a
+file, maps that into memory and looks the questions up. A block's texts travel
+along with its questions, and meet the answers where they are scored. Nothing of
+the model is broadcast but a dozen totals.
 
 A bigram's part depends on its first word's hash and some bits of the second's,
-so a frequent word's followers are spread, and blocks pre-aggregate."""
+so a frequent word's followers are spread, and blocks pre-aggregate. What is
+exchanged grows with the input in bytes; the number of packets is that of blocks
+times parts, about ten million at 30 GB. For terabytes raise BLOCK_BYTES."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, octets, release, remainder, small_batches, table, written
+from .common import ASCII_LOWER, octets, release, remainder, scratch, small_batches, table
 
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
@@ -99,16 +108,16 @@ class Block:
         self.hashes, self.tokens, self.sizes, self.held = hashes, tokens, sizes, held
         self.first = np.cumsum(sizes) - sizes
 
-    def bigrams(self):
-        second = self.hashes[self.tokens]
-        first = np.empty_like(second)
-        first[1:] = second[:-1]
-        first[self.first] = BEGIN
-        return first, second
+    def bigrams(self) -> np.ndarray:
+        """Of each token the rank of the word before it, times the number of
+        words, plus its own; sorted, they are in the order of the hashes."""
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = BEGIN  # the hashes 0 and 1 come first
+        return before * len(self.hashes) + self.tokens
 
-    @property
-    def train(self) -> np.ndarray:
-        return np.repeat(~self.held, self.sizes)
+    def words(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.divmod(bigrams, len(self.hashes))
 
 
 def blocks(batches, block_bytes: int):
@@ -116,9 +125,9 @@ def blocks(batches, block_bytes: int):
     task, number = TaskContext.get().partitionId() << 32, 0
 
     def close():
-        raw = np.fromiter((END, BEGIN, *map(hash_of, list(words)[2:])), np.uint64, len(words))
+        raw = np.fromiter(chain((END, BEGIN), map(hash_of, islice(words, 2, None))), np.uint64, len(words))
         hashes, rank = np.unique(raw, return_inverse=True)
-        return Block(hashes, rank[np.concatenate(tokens)], np.array([len(t) for t in tokens], np.int64), np.array(held, bool))
+        return Block(hashes, rank.astype(np.int32)[np.concatenate(tokens)], np.array([len(t) for t in tokens], np.int64), np.array(held, bool))
 
     words, tokens, held, ids, size = Words(), [], [], [], 0
     words[b" end"], words[b" begin"] = END, BEGIN
@@ -138,26 +147,22 @@ def blocks(batches, block_bytes: int):
         yield task | number, ids, close()
 
 
-class Asked:
-    """What a block asks for: its distinct words and bigrams in the order of
-    their parts, and where each part begins."""
+def owners(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    """The parts of bigrams, by the hashes of their words."""
+    spread = np.uint64(max(8, parts // 8))
+    return part_of(mix(first, second % spread), parts).astype(np.uint16)
+
+
+def cuts(sorted_parts: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts that occur."""
+    at = np.searchsorted(sorted_parts, np.arange(parts + 1))
+    return [(p, a, b) for p, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
 
-    def __init__(self, block: Block, parts: int):
-        first, second = block.bigrams()
-        keys = mix(first, second)
-        self.keys, at = np.unique(keys, return_index=True)
-        first, second = first[at], second[at]
-        spread = np.uint64(max(8, parts // 8))
-        owner = (mix(first, second % spread) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        self.order = np.lexsort((second, first, owner))
-        self.first, self.second = first[self.order], second[self.order]
-        self.cut = np.searchsorted(owner[self.order], np.arange(parts + 1, dtype=np.uint64))
-        self.word_cut = np.searchsorted(part_of(block.hashes, parts), np.arange(parts + 1, dtype=np.uint64))
-        train, n = np.unique(keys[block.train], return_counts=True)
-        self.n = np.zeros(len(self.keys), np.int64)
-        self.n[np.searchsorted(self.keys, train)] = n
-        self.n = self.n[self.order]
-        self.words = np.bincount(block.tokens[block.train], minlength=len(block.hashes))
+
+def in_parts(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by part, and by key in each part."""
+    order = np.argsort(keys)
+    return order[np.argsort(owner[order], kind="stable")]
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,69 +181,132 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[start], np.diff(np.append(start, len(a)))
 
 
-def ask(batches, block_bytes: int, parts: int):
+def counted(batches, block_bytes: int, parts: int):
+    """What blocks send to the parts: bigrams by first word with the hashes of
+    the second, and words, each with their counts."""
     for number, _, block in blocks(batches, block_bytes):
-        asked, rows = Asked(block, parts), []
-        for p in range(parts):
-            a, b = asked.cut[p : p + 2]
-            if b > a:
-                value, length = runs(asked.first[a:b])
-                rows.append(("bigrams", p, number, pack(deltas(value), length, asked.second[a:b], asked.n[a:b])))
-            a, b = asked.word_cut[p : p + 2]
-            if b > a:
-                rows.append(("words", p, number, pack(deltas(block.hashes[a:b]), asked.words[a:b])))
+        bigrams, n = np.unique(block.bigrams(), return_counts=True)
+        one, two = block.words(bigrams)
+        first, second = block.hashes[one], block.hashes[two]
+        owner = owners(first, second, parts)
+        order, rows = np.argsort(owner, kind="stable"), []
+        first, second, n = first[order], second[order], n[order]
+        for p, a, b in cuts(owner[order], parts):
+            value, length = runs(first[a:b])
+            rows.append(("bigrams", p, number, pack(deltas(value), length, second[a:b], n[a:b])))
+        sums = np.bincount(block.tokens, minlength=len(block.hashes))
+        for p, a, b in cuts(part_of(block.hashes, parts), parts):
+            rows.append(("words", p, number, pack(deltas(block.hashes[a:b]), sums[a:b])))
+        yield batch(rows)
+
+
+def asked(batches, block_bytes: int, parts: int):
+    """What blocks ask the parts, sorted hashes, and the texts themselves."""
+    for number, ids, block in blocks(batches, block_bytes):
+        keys, owner = questions(block, np.unique(block.bigrams()), parts)
+        order, rows = in_parts(keys, owner), []
+        for p, a, b in cuts(owner[order], parts):
+            rows.append(("ask bigrams", p, number, pack(deltas(keys[order[a:b]]))))
+        for p, a, b in cuts(part_of(block.hashes, parts), parts):
+            rows.append(("ask words", p, number, pack(deltas(block.hashes[a:b]))))
+        doc_id = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
+        text = pack(deltas(block.hashes), block.tokens, block.sizes, block.held, doc_id, np.array([i is not None for i in ids]))
+        rows.append(("texts", (number ^ number >> 32) % parts, number, text))
         yield batch(rows)
 
 
+def questions(block: Block, bigrams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    one, two = block.words(bigrams)
+    first, second = block.hashes[one], block.hashes[two]
+    return mix(first, second), owners(first, second, parts)
+
+
 def of_counts(n: np.ndarray) -> np.ndarray:
     return np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
 
 def add_bigrams(rows: pa.Table, parts: int) -> pa.Table:
-    """A part's answers on bigrams, the words' sums over them, and the totals."""
-    got = [(b, unpack(p)) for k, b, p in zip(rows["kind"].to_pylist(), rows["block"].to_pylist(), rows["payload"].to_pylist()) if k == "bigrams"]
-    out = [("words", p, b, x) for k, p, b, x in zip(*(rows[c].to_pylist() for c in ("kind", "part", "block", "payload"))) if k == "words"]
+    """A part's bigrams, sorted by their hashes, with their counts; the words'
+    sums over them for the words' parts; and the totals."""
+    got, out = [], []
+    for kind, part, block, payload in zip(*(rows[c].to_pylist() for c in ("kind", "part", "block", "payload"))):
+        if kind == "bigrams":
+            got.append(unpack(payload))
+        else:
+            out.append((kind, part, block, payload))
     if got:
-        first = np.concatenate([np.repeat(np.cumsum(v), n.astype(np.int64)) for _, (v, n, _, _) in got])
-        second = np.concatenate([s for _, (_, _, s, _) in got])
-        _, at, same = np.unique(mix(first, second), return_index=True, return_inverse=True)
-        count = np.bincount(same, np.concatenate([n for *_, (_, _, _, n) in got])).astype(np.int64)
-        stop = np.cumsum([len(s) for _, (_, _, s, _) in got])
-        for (b, (_, _, s, _)), e in zip(got, stop):
-            out.append(("counts", rows["part"][0].as_py(), b, pack(count[same[e - len(s) : e]])))
-        first, second, count = first[at][count > 0], second[at][count > 0], count[count > 0]
+        first = np.concatenate([np.repeat(np.cumsum(v), n.astype(np.int64)) for v, n, _, _ in got])
+        second, n = np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got]).astype(np.int64)
+        del got
+        keys = mix(first, second)
+        order = np.argsort(keys)
+        keys = keys[order]
+        start = np.concatenate(([0], np.diff(keys).nonzero()[0] + 1))
+        count = np.add.reduceat(n[order], start)
+        keys, first, second = keys[start], first[order[start]], second[order[start]]
+        out.append(("model", rows["part"][0].as_py(), None, pack(deltas(keys), count)))
         words, role = np.unique(np.concatenate((first, second)), return_inverse=True)
         before, after = role[: len(first)], role[len(first) :]
-        sums = [np.bincount(before, w, minlength=len(words)) for w in (count, count == 1, count == 2, count >= 3)] if len(words) else [np.zeros(0)] * 4
+        sums = [np.bincount(before, w, minlength=len(words)) for w in (count, count == 1, count == 2, count >= 3)]
         sums.append(np.bincount(after, minlength=len(words)))
-        cut = np.searchsorted(part_of(words, parts), np.arange(parts + 1, dtype=np.uint64))
-        for p in range(parts):
-            a, b = cut[p : p + 2]
-            if b > a:
-                out.append(("sums", p, None, pack(deltas(words[a:b]), *(s[a:b].astype(np.int64) for s in sums))))
+        for p, a, b in cuts(part_of(words, parts), parts):
+            out.append(("sums", p, None, pack(deltas(words[a:b]), *(s[a:b].astype(np.int64) for s in sums))))
         out.append(("totals", 0, None, of_counts(count).tobytes()))
     return pa.Table.from_batches([batch(out)])
 
 
 def add_words(rows: pa.Table) -> pa.Table:
-    """A part's answers on words: count, then as first word of bigrams the sum
-    and the numbers of ones, twos and more, then the number of words before it."""
-    got = [(k, b, unpack(p)) for k, b, p in zip(rows["kind"].to_pylist(), rows["block"].to_pylist(), rows["payload"].to_pylist())]
-    hashes = [np.cumsum(x[0]) for _, _, x in got]
+    """A part's words, sorted by their hashes: count, then as first word of
+    bigrams the sum and the numbers of ones, twos and more, then the number of
+    words before it; and the totals."""
+    got = [(k, unpack(p)) for k, p in zip(rows["kind"].to_pylist(), rows["payload"].to_pylist())]
+    hashes = [np.cumsum(x[0]) for _, x in got]
     words, same = np.unique(np.concatenate(hashes), return_inverse=True)
-    stats, e, where = np.zeros((6, len(words)), np.int64), 0, []
-    for (kind, _, x), h in zip(got, hashes):
+    stats, e = np.zeros((6, len(words)), np.int64), 0
+    for (kind, x), h in zip(got, hashes):
         at = same[e : e + len(h)]
         e += len(h)
-        where.append(at)
         if kind == "words":
             stats[0, at] += x[1].astype(np.int64)
         else:
             stats[1:, at] += np.array(x[1:]).astype(np.int64)
-    out = [("stats", rows["part"][0].as_py(), b, pack(*stats[:, at])) for (kind, b, _), at in zip(got, where) if kind == "words"]
     c, before = stats[0], stats[5]
     totals = [c.sum(), (c > 0).sum(), before.sum(), (before > 0).sum(), (before >= 3).sum(), *of_counts(before)]
-    out.append(("totals", 1, None, np.array(totals, np.int64).tobytes()))
+    return pa.Table.from_batches([batch([("words", rows["part"][0].as_py(), None, pack(deltas(words), *stats)), ("totals", 1, None, np.array(totals, np.int64).tobytes())])])
+
+
+class Mapped:
+    """Sorted hashes and what belongs to each, in a file that is mapped into memory."""
+
+    def __init__(self, folder: str, name: str, payload: bytes | None, width: int):
+        arrays = unpack(payload) if payload else [np.zeros(0, np.uint64)] * (1 + width)
+        table = np.vstack((np.cumsum(arrays[0], dtype=np.uint64), *arrays[1:]))
+        np.save(path := os.path.join(folder, f"{name}.npy"), table)
+        del table, arrays
+        self.table = np.load(path, mmap_mode="r")
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """A row for each value; 0 for hashes that are not there."""
+        known = self.table[0]
+        if not len(known):
+            return np.zeros((len(self.table) - 1, len(hashes)), np.uint64)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, self.table[1:, at], np.uint64(0))
+
+
+def answers(rows: pa.Table) -> pa.Table:
+    """A part's answers to all blocks, from its share of the model; texts pass through."""
+    model, out = {}, []
+    columns = [rows[c].to_pylist() for c in ("kind", "part", "block", "payload")]
+    with tempfile.TemporaryDirectory(prefix="lm-") as folder:
+        shares = {k: p for k, _, _, p in zip(*columns) if k in ("model", "words")}
+        model = {"ask bigrams": Mapped(folder, "bigrams", shares.get("model"), 1), "ask words": Mapped(folder, "words", shares.get("words"), 6)}
+        for kind, part, block, payload in zip(*columns):
+            if kind in model:
+                out.append((kind[4:], part, block, pack(*model[kind].of(np.cumsum(unpack(payload)[0])))))
+            elif kind == "texts":
+                out.append((kind, part, block, payload))
+        del model
     return pa.Table.from_batches([batch(out)])
 
 
@@ -249,88 +317,101 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))])
 
 
-class Slice:
-    """A block's slice of the model in a file of sorted hashes, mapped into memory."""
-
-    def __init__(self, folder: str, **arrays: np.ndarray):
-        self.maps = {}
-        for name, a in arrays.items():
-            np.save(path := os.path.join(folder, f"{name}.npy"), a)
-            self.maps[name] = np.load(path, mmap_mode="r")
-
-    def __getitem__(self, name: str) -> np.ndarray:
-        return self.maps[name]
-
-
 def score(rows: pa.Table, totals: tuple[np.ndarray, np.ndarray], parts: int) -> pa.Table:
+    """The scores of a block's texts, from the answers of all parts."""
     of2, (n, v, pairs, kinds, more, *of1) = totals
     d2, d1 = discounts(*of2), discounts(*of1)
-    by: dict[str, dict[int, bytes]] = {"texts": {}, "counts": {}, "stats": {}}
+    by: dict[str, dict[int, bytes]] = {"texts": {}, "bigrams": {}, "words": {}}
     for kind, part, payload in zip(rows["kind"].to_pylist(), rows["part"].to_pylist(), rows["payload"].to_pylist()):
         by[kind][part] = payload
-    steps, tokens, sizes, held, ids, known = unpack(by["texts"][0])
+    if len(by["texts"]) != 1:
+        raise RuntimeError("a block's texts are missing")
+    steps, tokens, sizes, held, ids, known = unpack(*by["texts"].values())
     block = Block(np.cumsum(steps), tokens.astype(np.int64), sizes.astype(np.int64), held.astype(bool))
-    asked = Asked(block, parts)
-    get = lambda kind: [unpack(by[kind][p]) for p in sorted(by[kind])]
-    counts, stats = np.concatenate([x[0] for x in get("counts")]), np.concatenate([np.array(x) for x in get("stats")], axis=1).astype(np.float64)
-    if len(counts) != len(asked.keys) or stats.shape[1] != len(block.hashes):
-        raise RuntimeError("the input gave other blocks when it was read again; write it to a table first")
-    back = np.empty(len(counts), np.int64)
-    back[asked.order] = counts.astype(np.int64)
-    c, s, ones, twos, rest, before = stats
+    each = block.bigrams()
+    bigrams = np.unique(each)
+    got = {kind: np.concatenate([np.array(unpack(by[kind][p])) for p in sorted(by[kind])], axis=1).astype(np.float64) for kind in ("bigrams", "words")}
+    if got["bigrams"].shape[1] != len(bigrams) or got["words"].shape[1] != len(block.hashes):
+        raise RuntimeError("the input gave other blocks when a part of it was read again; write it to a table first")
+    count = np.empty(len(bigrams))
+    count[in_parts(*questions(block, bigrams, parts))] = got["bigrams"][0]
+    c, s, ones, twos, rest, before = got["words"]
     low = d1[1] * of1[0] + d1[2] * of1[1] + d1[3] * more
     unigram = (before - d1[np.minimum(before, 3).astype(int)] + low / (v + 1)) / pairs if pairs else np.full(len(c), 1 / (v + 1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        backoff = np.where(s > 0, (d2[1] * ones + d2[2] * twos + d2[3] * rest) / s, 1.0)
+    backoff = np.where(s > 0, (d2[1] * ones + d2[2] * twos + d2[3] * rest) / np.maximum(s, 1), 1.0)
+    one, two = block.words(bigrams)
+    p = np.log10((count - d2[np.minimum(count, 3).astype(int)]) / np.maximum(s, 1)[one] + backoff[one] * unigram[two])
     base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    with tempfile.TemporaryDirectory(prefix="lm-") as folder:
-        model = Slice(folder, bigrams=asked.keys, less=back - d2[np.minimum(back, 3)], words=block.hashes, total=np.where(s > 0, s, 1.0), backoff=backoff, unigram=unigram, base=base, seen=c > 0)
-        first, second = block.bigrams()
-        at = np.searchsorted(model["bigrams"], mix(first, second))
-        one, two = np.searchsorted(model["words"], first), block.tokens
-        p = model["less"][at] / model["total"][one] + model["backoff"][one] * model["unigram"][two]
-        add = lambda x: np.add.reduceat(x, block.first)
-        columns = {"n_tokens": block.sizes, "n_known": add(model["seen"][two].astype(np.int64)), "base_score": add(model["base"][two]), "score": add(np.log10(p))}
-        del model
+    add = lambda x: np.add.reduceat(x, block.first)
+    columns = {"n_tokens": block.sizes, "n_known": add((c > 0).astype(np.int64)[block.tokens]), "base_score": add(base[block.tokens]), "score": add(p[np.searchsorted(bigrams, each)])}
     doc_id = pa.array(ids.view(np.int64), pa.int64(), mask=known == 0)
     return pa.table({"doc_id": doc_id, "held_out": block.held} | columns | {"train_tokens": np.full(len(ids), n, np.int64)}).select(SCORED)
 
 
 SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Parts at most: their numbers take two bytes.
+MOST_PARTS = 1 << 16
 
 
-def perplexities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Scores each row of (doc_id, text, held_out); the model learns from the
-    rows not held out. Columns: doc_id, held_out, n_tokens (with the end),
-    n_known, train_tokens, base_score, score (log10 probabilities).
+class Model:
+    """A stored model: its folder, the number of its parts, and its totals."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.shares = spark.read.schema(ROWS).parquet(f"{folder}/bigrams").where("kind in ('model', 'totals')").unionByName(spark.read.schema(ROWS).parquet(f"{folder}/words"))
+        self.folder = folder
+        sums = [np.zeros(4, np.int64), np.zeros(9, np.int64)]
+        for part, payload in self.shares.where("kind = 'totals'").select("part", "payload").toLocalIterator():  # two rows a part
+            sums[part] += np.frombuffer(payload, np.int64)
+        self.totals = tuple(sums)
+        self.parts = spark.read.parquet(f"{folder}/parts").first()[0]
 
-    Null and empty texts are one end token. Repeated rows count and are scored
-    each. Without training rows every token has probability 1 / (V + 1) = 1."""
+
+def fit(docs: DataFrame, folder: str | None = None, block_bytes: int = BLOCK_BYTES) -> Model:
+    """Counts a model from the texts of ``docs`` and stores it in ``folder``
+    (by default a new one in the shared folder). Null and empty texts are one
+    end token each, repeated rows count each; without rows the model is empty."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    folder = folder or f"{scratch(spark)}/lm-{uuid.uuid4().hex}"
+    docs = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // block_bytes)
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // block_bytes), MOST_PARTS)
+    put = lambda rows, name: rows.write.option("compression", "none").parquet(f"{folder}/{name}")  # noqa: E731  payloads are packed
 
-    def questions(batches):
-        yield from ask(batches, block_bytes, parts)
+    def send(batches):
+        yield from counted(batches, block_bytes, parts)
 
-    def texts(batches):
-        for number, ids, b in blocks(batches, block_bytes):
-            doc_id = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
-            yield batch([("texts", 0, number, pack(deltas(b.hashes), b.tokens, b.sizes, b.held, doc_id, np.array([i is not None for i in ids])))])
-
-    added = written(docs.mapInArrow(questions, ROWS).groupBy("part").applyInArrow(lambda t: add_bigrams(t, parts), ROWS), "bigrams")
+    put(docs.mapInArrow(send, ROWS).groupBy("part").applyInArrow(lambda t: add_bigrams(t, parts), ROWS), "bigrams")
     release(spark)
-    stats = written(added.where("kind in ('words', 'sums')").groupBy("part").applyInArrow(add_words, ROWS), "words")
+    added = spark.read.schema(ROWS).parquet(f"{folder}/bigrams").where("kind in ('words', 'sums')")
+    put(added.groupBy("part").applyInArrow(add_words, ROWS), "words")
+    put(spark.createDataFrame([(int(parts),)], "parts long").coalesce(1), "parts")
     release(spark)
-    sums = [np.zeros(4, np.int64), np.zeros(9, np.int64)]
-    for part, payload in added.where("kind = 'totals'").unionByName(stats.where("kind = 'totals'")).select("part", "payload").toLocalIterator():
-        sums[part] += np.frombuffer(payload, np.int64)
-    totals = tuple(sums)
-    answers = added.where("kind = 'counts'").unionByName(stats.where("kind = 'stats'"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.mapInArrow(texts, ROWS).unionByName(answers).groupBy("block").applyInArrow(lambda t: score(t, totals, parts), schema)
+    return Model(spark, folder)
+
+
+def scored(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Scores each row of (doc_id, text, held_out) by a stored model: doc_id,
+    held_out, n_tokens (with the end), n_known, train_tokens, base_score, score
+    (log10 probabilities). Null and empty texts are one end token; repeated rows
+    are scored each; an empty table gives none; a text of any length is whole in
+    one block. Under an empty model every token has probability 1 / (V + 1) = 1."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    totals, parts = model.totals, model.parts
+
+    def ask(batches):
+        yield from asked(batches, block_bytes, parts)
+
+    both = docs.mapInArrow(ask, ROWS).unionByName(model.shares.where("kind <> 'totals'"))
+    got = both.groupBy("part").applyInArrow(answers, ROWS)
+    return got.groupBy("block").applyInArrow(lambda t: score(t, totals, parts), SCHEMA)
+
+
+def perplexities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Scores each row of (doc_id, text, held_out) by a model of those not held out."""
+    return scored(docs, fit(docs.where("not held_out"), block_bytes=block_bytes), block_bytes)
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

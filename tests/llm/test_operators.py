@@ -276,6 +276,37 @@ def test_language_model(spark, docs, rows, none):
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in untaught)
 
 
+def test_stored_model(spark, docs, tmp_path):
+    """A stored model scores other texts as it did, and its shares are sorted arrays of hashes."""
+    rows = docs.select("doc_id", "text").withColumn("held_out", F.lit(True))
+    made = lm.fit(docs, f"{tmp_path}/lm", 3000)
+    again = lm.Model(spark, f"{tmp_path}/lm")
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score)
+    assert sorted(map(key, lm.scored(rows, made).collect())) == sorted(map(key, lm.scored(rows, again, 500).collect()))
+    seen = 0
+    for r in again.shares.where("kind in ('model', 'words')").collect():
+        hashes = np.cumsum(lm.unpack(bytes(r.payload))[0], dtype=np.uint64)
+        assert (np.diff(hashes.astype(object)) > 0).all()
+        seen += len(hashes) * (r.kind == "words")
+    words = {w for t in docs.select("text").collect() for w in re.findall("[^\x20\x09-\x0d]+", (t.text or "").translate(LOWER))}
+    assert seen == len(words) + 2  # the end, and what stands before a text
+    other = lm.scored(spark.createDataFrame([(1, "the house unseen", True)], "doc_id long, text string, held_out boolean"), again).first()
+    assert (other.n_tokens, other.n_known) == (4, 3)
+
+
+def test_packets_grow_with_the_input(spark):
+    """What fitting gathers, in bytes, is in proportion to the input."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400))
+    sizes = []
+    for n in (40, 160):
+        docs = spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string").coalesce(1)
+        rows = docs.select("doc_id", "text", F.lit(False).alias("held_out"))
+        got = rows.mapInArrow(lambda batches: lm.counted(batches, 20_000, 8), lm.ROWS)
+        sizes.append(got.agg(F.sum(F.length("payload"))).first()[0])
+    assert 3.5 < sizes[1] / sizes[0] < 4.5
+
+
 def test_words_of_near_hashes(spark):
     """Two pairs of words whose 64-bit hashes have the upper 40 bits in common."""
     pairs = [("w160904", "w796784"), ("w1204313", "w2056576")]
