@@ -6,9 +6,10 @@ corpus. As the whole window has to occur, its prefix is its one rarest shingle:
 documents are joined with the windows on that shingle alone, candidates that
 can't fit by position or length are dropped, the rest is verified word by word.
 
-Benchmark windows are taken in blocks of BLOCK_WORDS words, a fixed size, so
-what is broadcast is bounded; a larger benchmark takes more blocks, each of
-which sees all documents."""
+Benchmark windows are taken in blocks of about BLOCK_WORDS words, a fixed size,
+so what is broadcast is bounded: rows that repeat count once, and long items are
+cut into pieces that share their windows out. A larger benchmark takes more
+blocks, each of which sees all documents."""
 
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ SHINGLE = 3
 BLOCK_WORDS = 200_000
 #: Blocks that run in one stage before their sums are written.
 CHAIN = 4
+#: Windows of one piece of an item, bytes of a text and candidates that are taken at a time.
+ITEM_PIECE, PIECE, CANDIDATES = 10_000, 1 << 20, 1 << 18
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -66,8 +69,15 @@ class Block:
         return out
 
     def encode(self, text: bytes | None) -> np.ndarray:
-        own = words(text)
-        return np.fromiter((self.vocab.get(w, 0) for w in own), np.int64, len(own))
+        parts, at, text = [], 0, text or b""
+        while at < len(text):
+            stop = at + PIECE
+            while stop < len(text) and ALNUM_WORDS[text[stop]] != 32:
+                stop += 1
+            own = words(text[at:stop])
+            parts.append(np.fromiter((self.vocab.get(w, 0) for w in own), np.int64, len(own)))
+            at = stop
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def found(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of shingles that any window has, and their numbers among ``codes[size]``."""
@@ -99,27 +109,26 @@ class Block:
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts in the document and numbers of the windows that occur there."""
-        starts, which = [], []
+        starts, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in self.codes:
             at, code = self.found(ids, size)
             begin, window, offset = self.prefix[size]
             n = begin[code + 1] - begin[code]
-            if not n.sum():
-                continue
-            # one row for each pair of a shingle's place and a window with that prefix
-            q = np.repeat(at, n)
-            row = np.repeat(begin[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            w = window[row]
-            s = q - offset[row]
-            fits = (s >= 0) & (s + self.lengths[w] <= len(ids))
-            w, s = w[fits], s[fits]
-            for k in range(self.matrix.shape[1]):
-                same = (k >= self.lengths[w]) | (ids[np.minimum(s + k, len(ids) - 1)] == self.matrix[w, k])
-                w, s = w[same], s[same]
-            starts.append(s)
-            which.append(w)
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            upto = np.cumsum(n)
+            cut = [0, *np.searchsorted(upto, np.arange(CANDIDATES, upto[-1], CANDIDATES)).tolist(), len(n)] if len(n) else []
+            for a, b in zip(cut, cut[1:]):
+                # one row for each pair of a shingle's place and a window with that prefix
+                m = n[a:b]
+                row = np.repeat(begin[code[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                w = window[row]
+                s = np.repeat(at[a:b], m) - offset[row]
+                fits = (s >= 0) & (s + self.lengths[w] <= len(ids))
+                w, s = w[fits], s[fits]
+                for k in range(self.matrix.shape[1]):
+                    same = (k >= self.lengths[w]) | (ids[np.minimum(s + k, len(ids) - 1)] == self.matrix[w, k])
+                    w, s = w[same], s[same]
+                starts.append(s)
+                which.append(w)
         return np.concatenate(starts), np.concatenate(which)
 
 
@@ -148,22 +157,37 @@ def rarity(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
 
 def blocks(items: DataFrame, window: int, block_words: int, unnamed: bool):
     """Items in blocks, each small enough to be broadcast. Rows that share an
-    item_id are one item with several texts; a null text has no windows, a null
-    item_id only if ``unnamed``."""
+    item_id are one item with several texts, equal rows are one; a null text has
+    no windows, a null item_id only if ``unnamed``. The pieces of a long item
+    overlap by a window less one word, so each window is in one piece."""
     kept = items.where("text is not null" if unnamed else "item_id is not null and text is not null")
-    sized = kept.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // (6 * block_words)))
+    rows = kept.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    step = max(1, min(ITEM_PIECE, block_words))
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), octets(batch.column(1))):
+                own = words(text)
+                for k in range(0, max(1, len(own) - window + 1), step):
+                    piece = own[k : k + step + window - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([b" ".join(piece)], pa.binary()), pa.array([len(piece)], pa.int64())], names=["item_id", "piece", "n"])
+
+    pieces = written(rows.mapInArrow(cut, "item_id string, piece binary, n long").where("n > 0"), "windows")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    count = max(1, -(-total // block_words))
     for k in range(count):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else sized
-        yield Block([(i, words(t.encode())) for i, t in part.toLocalIterator()], window)
+        part = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(count)) == k) if count > 1 else pieces
+        yield Block([(r.item_id, bytes(r.piece).split()) for r in part.toLocalIterator()], window)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """Adds n_words, n_hit, spans (packed pairs of hit word ranges), item_ids
-    (sorted as strings) and contaminated. Null and empty texts have no words;
-    without items nothing is hit; repeated rows are judged each by itself. With
-    ``unnamed`` the windows of items without an id hit too, but give no item_ids."""
+    (sorted as strings) and contaminated; columns of these names are replaced.
+    Null and empty texts have no words; texts of any length are read whole, piece
+    by piece; without items nothing is hit; repeated rows are judged each by
+    itself; of shingles that are equally rare the one that comes first stands for
+    its window. With ``unnamed`` the windows of items without an id hit too, but
+    give no item_ids."""
     spark = docs.sparkSession
     small_batches(spark)
     fields = [

@@ -111,6 +111,21 @@ def test_decontaminate(spark, docs, rows, none, block_words):
     assert not any(r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).select("n_hit").collect())
 
 
+def test_benchmark_of_long_and_repeated_items(spark, docs, rows, monkeypatch):
+    """Blocks stay small, and every window is in one of them."""
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 5)
+    rng = random.Random(2)
+    long = " ".join([*(rng.choice(WORDS) for _ in range(400)), rows[3][1]])
+    items = [(1, long), *[(2, "the house stands")] * 500, (3, "x" * 2000), (4, rows[8][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [sum(map(len, b.windows)) for b in decontaminate.blocks(bench, 10, 60, True)]
+    assert len(sizes) > 4 and max(sizes) < 10 * 60 * 4
+    got = decontaminate.contamination(docs, bench, block_words=150, unnamed=True)
+    mine = sorted((r.doc_id or -1, r.n_words, r.n_hit, len(r.item_ids)) for r in got.collect())
+    assert mine == sorted((w[0] or -1, *w[1:4]) for w in decontaminate.brute([(r[0], r[1]) for r in rows], list(dict.fromkeys(items))))
+
+
 @pytest.mark.parametrize("block_words", [200_000, 1])
 def test_items_without_id_hit(spark, tmp_path, block_words):
     docs = spark.createDataFrame([(1, "a house"), (2, "rain and rain"), (3, "wind")], "doc_id long, text string")
