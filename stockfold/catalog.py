@@ -420,14 +420,36 @@ def q_decode_cascade(spark, sf_dir):
     return got.select("sequence", "record_type", "epoch", F.when(F.col("operations").isNotNull(), F.size("operations")).cast("long").alias("n_ops"))
 
 
-@query(_with(ELEMENTS, LINES, """SELECT CAST(l.sequence AS BIGINT) AS line, CASE WHEN json_type(j) = 'ARRAY' THEN coalesce(n, 0) END AS batch_size,
+REFUSALS = """SELECT CAST(l.sequence AS BIGINT) AS line, CASE WHEN json_type(j) = 'ARRAY' THEN coalesce(n, 0) END AS batch_size,
     CASE WHEN json_type(j) IS DISTINCT FROM 'ARRAY' OR coalesce(s.malformed, false) THEN 'invalid JSON batch' WHEN coalesce(n, 0) = 0 THEN 'batch must contain 1..=10000 operations' ELSE s.why END AS refused,
     coalesce(c.pos - 1, -1) AS pos FROM lines l JOIN parsed USING (sequence) LEFT JOIN sums s ON s.sequence = l.sequence
-    LEFT JOIN checked c ON c.sequence = l.sequence AND json_type(j) = 'ARRAY'"""))
+    LEFT JOIN checked c ON c.sequence = l.sequence AND json_type(j) = 'ARRAY'"""
+
+
+def refusals(got):
+    return got.select("line", F.col("batch_size").cast("long").alias("batch_size"), "refused", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"))
+
+
+@query(_with(ELEMENTS, LINES, REFUSALS))
 def q_request_refusals(spark, sf_dir):
     """Malformed, empty and invalid request batches are refused as a whole, each with a reason."""
-    got = files.parse_batches(rows_of(spark, LINES, "line long, value string"))
-    return got.select("line", F.col("batch_size").cast("long").alias("batch_size"), "refused", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"))
+    return refusals(files.parse_batches(rows_of(spark, LINES, "line long, value string")))
+
+
+#: Requests of one operation, and what is none.
+SINGLES = [(1, '{"operation_id":"a","owner_id":"o","sku":"s","delta":5}'), (2, "{broken"), (3, ""), (4, '{"operation_id":"a","owner_id":"o","sku":"s","delta":0}'), (5, "7"), (6, '{"operation_id":"a","owner_id":"o","sku":"s","delta":5,"event_version":2}')]
+
+
+@query(_with(ELEMENTS, [(n, f"[{v}]" if v else "") for n, v in SINGLES], REFUSALS))
+def q_single_requests(spark, sf_dir):
+    return refusals(files.parse_operations(rows_of(spark, SINGLES, "line long, value string")))
+
+
+@query(f"SELECT coalesce(refused, 'accepted') AS outcome, count(DISTINCT line) AS requests FROM ({_with(ELEMENTS, LINES, REFUSALS)}) GROUP BY 1")
+def q_error_counts(spark, sf_dir):
+    """Requests by outcome."""
+    rows = q_request_refusals(spark, sf_dir).select("line", "refused").distinct()
+    return rows.groupBy(F.coalesce("refused", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("requests"))
 
 
 HEX = [("6162",), ("c3a9",), ("c328",), ("e282ac",), ("ff",), ("",), ("f0908d88",), ("eda080",)]

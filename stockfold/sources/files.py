@@ -98,6 +98,12 @@ def parse_batches(lines: DataFrame) -> DataFrame:
     return rows.select("line", "batch_size", "refused", F.posexplode_outer("_ops").alias("pos", "o")).select("line", "batch_size", "pos", "o.*", "refused")
 
 
+def parse_operations(lines: DataFrame) -> DataFrame:
+    """Requests of one operation each (line, value: a JSON object), as batches of one."""
+    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
+    return parse_batches(lines.withColumn("value", F.when(blank, "").otherwise(F.concat(F.lit("["), "value", F.lit("]")))))
+
+
 def read_batches(spark: SparkSession, path: str, columns: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """One request batch a line of text; ``columns`` of the operations (all, or
     only ids, say): the others are not kept."""
