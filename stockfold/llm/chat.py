@@ -7,9 +7,8 @@ before it, or to insert an empty turn first, at the least total cost.
 
 The programme's step is a min-plus matrix over the four states, so a long
 conversation is cut into blocks of BLOCK turn numbers (a crowded one finer):
-blocks are reduced to
-their matrices, the chain of matrices gives each block its first and last
-state, and blocks are then repaired apart from each other."""
+blocks are reduced to their matrices, the chain of matrices gives each block its
+first and last state, and blocks are then repaired apart from each other."""
 
 from __future__ import annotations
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 BLOCK = 1024
 #: Stretches of a conversation that are hot have over 1/HOT_KEYS of all turns, and MOST_TURNS at least.
@@ -114,6 +113,7 @@ def blocked(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     rows = rows.withColumn("n", F.when(F.col("turn").isNull(), 1).otherwise(F.col("n"))).withColumn("number", F.coalesce(F.col("turn").cast("long"), last))
     rows = rows.withColumn("stretch", F.floor(F.col("number") / BLOCK).cast("long"))
+    rows = written(rows, "turns")  # it is read several times
     share = max(rows.count() // HOT_KEYS + 1, MOST_TURNS)
     by_number = rows.groupBy("conv_id", "stretch", "number").agg(F.count("*").alias("m"))
     hot = by_number.groupBy("conv_id", "stretch").agg(F.sum("m").alias("all"), F.collect_list(F.struct("number", "m")).alias("of")).where(F.col("all") > share)
