@@ -7,11 +7,16 @@ them by hash. Each part adds up what all blocks sent and stores its share of the
 model: sorted arrays of hashes with their counts, a row of a Parquet table in the
 shared folder. ``Model`` names that folder; it can be loaded again at any time.
 
-Scoring: texts are read once, again in blocks. A block asks each part for what it
-has of its bigrams and words; the worker that has a part puts its arrays into a
-file, maps that into memory and looks the questions up. A block's texts travel
-along with its questions, and meet the answers where they are scored. Nothing of
-the model is broadcast but a dozen totals.
+Scoring: texts are read in blocks. A block asks each part for what it has of its
+bigrams and words; the worker that has a part puts its arrays into a file, maps
+that into memory and looks the questions up. The answers meet the block's texts,
+which are read a second time for that, where they are scored; were the blocks not
+the same, scoring would stop with an error. Nothing of the model is broadcast but
+a dozen totals.
+
+Words are known by 64-bit hashes, a bigram in its part by 48 bits of its own: at
+700,000 bigrams a part (parts grow with the corpus) one in 400 million unseen
+bigrams is taken for another. Counts of words and the base score do not use these.
 
 A bigram's part depends on its first word's hash and some bits of the second's,
 so a frequent word's followers are spread, and blocks pre-aggregate. What is
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, octets, release, remainder, scratch, small_batches, table
+from .common import ASCII_LOWER, discard, octets, release, remainder, scratch, small_batches, table
 
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
@@ -159,6 +164,12 @@ def cuts(sorted_parts: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, a, b) for p, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """As np.unique, by sorting; that hashes, which is slower here."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
 def in_parts(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The order by part, and by key in each part."""
     order = np.argsort(keys)
@@ -201,24 +212,31 @@ def counted(batches, block_bytes: int, parts: int):
 
 
 def asked(batches, block_bytes: int, parts: int):
-    """What blocks ask the parts, sorted hashes, and the texts themselves."""
-    for number, ids, block in blocks(batches, block_bytes):
-        keys, owner = questions(block, np.unique(block.bigrams()), parts)
+    """What blocks ask the parts: sorted hashes."""
+    for number, _, block in blocks(batches, block_bytes):
+        keys, owner = questions(block, distinct(block.bigrams()), parts)
         order, rows = in_parts(keys, owner), []
         for p, a, b in cuts(owner[order], parts):
             rows.append(("ask bigrams", p, number, pack(deltas(keys[order[a:b]]))))
         for p, a, b in cuts(part_of(block.hashes, parts), parts):
             rows.append(("ask words", p, number, pack(deltas(block.hashes[a:b]))))
-        doc_id = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
-        text = pack(deltas(block.hashes), block.tokens, block.sizes, block.held, doc_id, np.array([i is not None for i in ids]))
-        rows.append(("texts", (number ^ number >> 32) % parts, number, text))
         yield batch(rows)
 
 
+def packed_texts(batches, block_bytes: int):
+    for number, ids, block in blocks(batches, block_bytes):
+        doc_id = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
+        yield batch([("texts", 0, number, pack(deltas(block.hashes), block.tokens, block.sizes, block.held, doc_id, np.array([i is not None for i in ids])))])
+
+
+def key_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(second, first) >> np.uint64(16)
+
+
 def questions(block: Block, bigrams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     one, two = block.words(bigrams)
     first, second = block.hashes[one], block.hashes[two]
-    return mix(first, second), owners(first, second, parts)
+    return key_of(first, second), owners(first, second, parts)
 
 
 def of_counts(n: np.ndarray) -> np.ndarray:
@@ -238,13 +256,14 @@ def add_bigrams(rows: pa.Table, parts: int) -> pa.Table:
         first = np.concatenate([np.repeat(np.cumsum(v), n.astype(np.int64)) for v, n, _, _ in got])
         second, n = np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got]).astype(np.int64)
         del got
-        keys = mix(first, second)
-        order = np.argsort(keys)
-        keys = keys[order]
-        start = np.concatenate(([0], np.diff(keys).nonzero()[0] + 1))
+        whole = mix(first, second)
+        order = np.argsort(whole)
+        start = np.concatenate(([0], np.diff(whole[order]).nonzero()[0] + 1))
         count = np.add.reduceat(n[order], start)
-        keys, first, second = keys[start], first[order[start]], second[order[start]]
-        out.append(("model", rows["part"][0].as_py(), None, pack(deltas(keys), count)))
+        first, second = first[order[start]], second[order[start]]
+        keys = key_of(first, second)
+        order = np.argsort(keys)
+        out.append(("model", rows["part"][0].as_py(), None, pack(deltas(keys[order]), count[order])))
         words, role = np.unique(np.concatenate((first, second)), return_inverse=True)
         before, after = role[: len(first)], role[len(first) :]
         sums = [np.bincount(before, w, minlength=len(words)) for w in (count, count == 1, count == 2, count >= 3)]
@@ -295,8 +314,8 @@ class Mapped:
 
 
 def answers(rows: pa.Table) -> pa.Table:
-    """A part's answers to all blocks, from its share of the model; texts pass through."""
-    model, out = {}, []
+    """A part's answers to all blocks, from its share of the model."""
+    out = []
     columns = [rows[c].to_pylist() for c in ("kind", "part", "block", "payload")]
     with tempfile.TemporaryDirectory(prefix="lm-") as folder:
         shares = {k: p for k, _, _, p in zip(*columns) if k in ("model", "words")}
@@ -304,8 +323,6 @@ def answers(rows: pa.Table) -> pa.Table:
         for kind, part, block, payload in zip(*columns):
             if kind in model:
                 out.append((kind[4:], part, block, pack(*model[kind].of(np.cumsum(unpack(payload)[0])))))
-            elif kind == "texts":
-                out.append((kind, part, block, payload))
         del model
     return pa.Table.from_batches([batch(out)])
 
@@ -329,7 +346,7 @@ def score(rows: pa.Table, totals: tuple[np.ndarray, np.ndarray], parts: int) ->
     steps, tokens, sizes, held, ids, known = unpack(*by["texts"].values())
     block = Block(np.cumsum(steps), tokens.astype(np.int64), sizes.astype(np.int64), held.astype(bool))
     each = block.bigrams()
-    bigrams = np.unique(each)
+    bigrams = distinct(each)
     got = {kind: np.concatenate([np.array(unpack(by[kind][p])) for p in sorted(by[kind])], axis=1).astype(np.float64) for kind in ("bigrams", "words")}
     if got["bigrams"].shape[1] != len(bigrams) or got["words"].shape[1] != len(block.hashes):
         raise RuntimeError("the input gave other blocks when a part of it was read again; write it to a table first")
@@ -358,7 +375,8 @@ class Model:
     """A stored model: its folder, the number of its parts, and its totals."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.shares = spark.read.schema(ROWS).parquet(f"{folder}/bigrams").where("kind in ('model', 'totals')").unionByName(spark.read.schema(ROWS).parquet(f"{folder}/words"))
+        tables = [spark.read.schema(ROWS).parquet(f"{folder}/{name}") for name in ("bigrams", "words")]
+        self.shares = tables[0].where("kind in ('model', 'totals')").unionByName(tables[1])
         self.folder = folder
         sums = [np.zeros(4, np.int64), np.zeros(9, np.int64)]
         for part, payload in self.shares.where("kind = 'totals'").select("part", "payload").toLocalIterator():  # two rows a part
@@ -377,7 +395,7 @@ def fit(docs: DataFrame, folder: str | None = None, block_bytes: int = BLOCK_BYT
     docs = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // block_bytes), MOST_PARTS)
-    put = lambda rows, name: rows.write.option("compression", "none").parquet(f"{folder}/{name}")  # noqa: E731  payloads are packed
+    put = lambda rows, name: rows.write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/{name}")  # noqa: E731  payloads are packed
 
     def send(batches):
         yield from counted(batches, block_bytes, parts)
@@ -386,7 +404,9 @@ def fit(docs: DataFrame, folder: str | None = None, block_bytes: int = BLOCK_BYT
     release(spark)
     added = spark.read.schema(ROWS).parquet(f"{folder}/bigrams").where("kind in ('words', 'sums')")
     put(added.groupBy("part").applyInArrow(add_words, ROWS), "words")
-    put(spark.createDataFrame([(int(parts),)], "parts long").coalesce(1), "parts")
+    spark.createDataFrame([(int(parts),)], "parts long").coalesce(1).write.parquet(f"{folder}/parts")
+    for kind in ("words", "sums"):
+        discard(spark, f"{folder}/bigrams/kind={kind}")  # they have gone into the words' shares
     release(spark)
     return Model(spark, folder)
 
@@ -404,9 +424,12 @@ def scored(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES) -> Dat
     def ask(batches):
         yield from asked(batches, block_bytes, parts)
 
+    def texts(batches):
+        yield from packed_texts(batches, block_bytes)
+
     both = docs.mapInArrow(ask, ROWS).unionByName(model.shares.where("kind <> 'totals'"))
     got = both.groupBy("part").applyInArrow(answers, ROWS)
-    return got.groupBy("block").applyInArrow(lambda t: score(t, totals, parts), SCHEMA)
+    return docs.mapInArrow(texts, ROWS).unionByName(got).groupBy("block").applyInArrow(lambda t: score(t, totals, parts), SCHEMA)
 
 
 def perplexities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

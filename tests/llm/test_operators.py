@@ -305,6 +305,7 @@ def test_stored_model(spark, docs, tmp_path):
         seen += len(hashes) * (r.kind == "words")
     words = {w for t in docs.select("text").collect() for w in re.findall("[^\x20\x09-\x0d]+", (t.text or "").translate(LOWER))}
     assert seen == len(words) + 2  # the end, and what stands before a text
+    assert {r.kind for r in again.shares.select("kind").distinct().collect()} == {"model", "words", "totals"}
     other = lm.scored(spark.createDataFrame([(1, "the house unseen", True)], "doc_id long, text string, held_out boolean"), again).first()
     assert (other.n_tokens, other.n_known) == (4, 3)
 
