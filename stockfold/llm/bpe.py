@@ -369,8 +369,10 @@ IDS, DECODED = StructField("ids", BinaryType()), StructField("decoded", StringTy
 
 def encoded(docs: DataFrame, path: str, pattern: str, back: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds ids: the tokens as little-endian unsigned 32-bit integers; with
-    ``back`` decoded too, in the same worker. Null and empty texts have none.
-    Columns in ``drop`` are not returned."""
+    ``back`` decoded too, in the same worker; columns of these names are replaced,
+    those in ``drop`` are not returned. Null and empty texts have no tokens; a text
+    of any length is encoded whole, piece by piece; repeated rows get the same;
+    an empty table gives none. Of merges of equal rank the leftmost goes first."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a file of fixed size
 
     def make():
@@ -390,7 +392,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, back: bool = False, drop:
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """Adds decoded, the text of ids. Bytes that are no UTF-8 become U+FFFD."""
+    """Adds decoded, the text of ids (null: empty). Bytes that are no UTF-8 become U+FFFD."""
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():

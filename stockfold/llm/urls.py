@@ -176,9 +176,10 @@ def judged(pages: DataFrame, words: tuple[dict[str, float], float], model) -> Da
 
 def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     """Adds host, path, rule, tokens, block_odds and verdict to pages (url,
-    html); columns of these names are replaced. Null, empty and repeated urls
-    are each judged; null html teaches no words; without pages that a rule
-    decides the verdict is allow."""
+    html); columns of these names are replaced. Null, empty, repeated and very
+    long urls are each judged whole; null html teaches no words; of rules of equal
+    length the first by name is given; even odds, and so all pages where none is
+    decided by a rule, are allowed; an empty table gives none."""
     rows = ruled(parts(pages.drop("html", "tokens", "block_odds")), rules)
     words = dictionary(pages, rows)
     return judged(rows, words, fit(rows, words))
