@@ -73,14 +73,12 @@ def runs(samples: DataFrame, keys: list[str], us: str, tie: str, condition: Colu
     rows = rows.withColumn("_island", island).withColumn("_offs", F.sum(off).over(Window.partitionBy(*own)))
     spans = rows.groupBy(*own, "_island", "_offs").agg(
         F.min(F.when(F.col("_on"), F.col(us))).alias("start_us"), F.max(F.when(F.col("_on"), F.col(us))).alias("end_us"), F.count_if("_on").alias("n"))
-    # the island of a leading break is the one that follows it; what is left without samples shows that its stretch has a break
-    spans = spans.withColumn("_first", F.col("_island") == 0).withColumn("_last", F.col("_island") == F.col("_offs"))
-    inner = spans.where("n > 0 and not _first and not _last").select(*keys, "start_us", "end_us", "n")
-    edge = spans.where("_first or _last or n = 0").where("_first or _last")
+    spans = spans.where("n > 0").withColumn("_first", F.col("_island") == 0).withColumn("_last", F.col("_island") == F.col("_offs"))
+    inner = spans.where("not _first and not _last").select(*keys, "start_us", "end_us", "n")
     numbers = rows.groupBy(*own).agg(F.lit(1).alias("_one")).withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy("_s"))).drop("_one")
     numbers = numbers.toDF(*(f"_k{k}" for k in range(len(own))), "_number")
     match = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_k{k}")) for k, n in enumerate(own)))
-    edge = edge.where("n > 0").join(numbers, match).select(*keys, "start_us", "end_us", "n", "_first", "_last", "_number", "_island")
+    edge = spans.where("_first or _last").join(numbers, match).select(*keys, "start_us", "end_us", "n", "_first", "_last", "_number", "_island")
     inorder = Window.partitionBy(*keys).orderBy("_number", "_island")
     goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(inorder) & (F.lag("_number").over(inorder) == F.col("_number") - 1), F.lit(False))
     group = F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(inorder.rowsBetween(Window.unboundedPreceding, Window.currentRow))
