@@ -61,8 +61,13 @@ def running_sum(rows: DataFrame, keys: list[str], value: Column, out: str, stret
     return rows.withColumn(out, inside).join(tops, match).withColumn(out, F.col(out) + F.col("_carried")).select(*names, out)
 
 
-def running_balances(ops: DataFrame, *order: str, span: int = SPAN) -> DataFrame:
-    """Adds balance, the position's after each row; ``order`` begins with a number."""
+def running_balances(ops: DataFrame, *order: str, span: int = SPAN, ends: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """Adds balance, the position's after each row; ``order`` begins with a
+    number. If its least and greatest value (``ends``) are known to be in one
+    stretch, there is nothing to carry and one window does."""
+    if ends and (ends[0] is None or ends[0] // span == ends[1] // span):
+        w = Window.partitionBy("owner_id", "sku").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ops.withColumn("balance", F.sum("delta").over(w))
     return running_sum(ops, ["owner_id", "sku"], F.col("delta"), "balance", F.floor(F.col(order[0]) / span), *order)
 
 

@@ -35,16 +35,24 @@ def flat(log: DataFrame) -> DataFrame:
     return log.withColumn("pos", F.coalesce(F.col("pos") if "pos" in log.columns else F.lit(None), F.lit(0)))
 
 
-def active_epochs(log: DataFrame, seed: int = 0, span: int = SPAN, most_fences: int = MOST_FENCES) -> DataFrame:
-    """Adds active: the greatest epoch of a fence up to each record, ``seed`` at least."""
-    fence = (F.col("record_type") == "fence") & F.col("epoch").isNotNull()
-    n, low, high = log.agg(F.count_if(fence), F.min("sequence"), F.max("sequence")).first()
+FENCE = "record_type = 'fence' and epoch is not null"
+
+
+def extent(log: DataFrame) -> tuple[int, int | None, int | None]:
+    """Fences, first and last sequence."""
+    return tuple(log.agg(F.count_if(F.expr(FENCE)), F.min("sequence"), F.max("sequence")).first())
+
+
+def active_epochs(log: DataFrame, seed: int = 0, span: int = SPAN, most_fences: int = MOST_FENCES, known: tuple | None = None) -> DataFrame:
+    """Adds active: the greatest epoch of a fence up to each record, ``seed`` at
+    least. ``known`` is the log's ``extent``, if it has been taken."""
+    n, low, high = known or extent(log)
     if not n:
         return log.withColumn("active", F.lit(seed).cast("long"))
     if n > most_fences:
         return by_stretches(log, seed, span)
     span = max(span, (high - low) // most_fences + 1)
-    own = log.where(fence).groupBy("sequence").agg(F.max("epoch").alias("epoch"))
+    own = log.where(FENCE).groupBy("sequence").agg(F.max("epoch").alias("epoch"))
     upto = Window.orderBy("sequence")  # of most_fences rows at most
     own = own.select(
         F.col("sequence").alias("_from"), F.lead("sequence", 1, high + 1).over(upto).alias("_to"),
@@ -69,14 +77,9 @@ def by_stretches(log: DataFrame, seed: int = 0, span: int = SPAN) -> DataFrame:
     return rows.withColumn("_own", own).join(tops, "_span").withColumn("active", F.greatest(F.lit(seed).cast("long"), "_own", "_carried")).drop("_span", "_own", "_carried")
 
 
-def live(log: DataFrame, seed: int = 0) -> DataFrame:
-    """Operation records of the writer that is active, flat."""
-    return flat(active_epochs(log, seed).where("record_type = 'operations' and epoch = active"))
-
-
-def fenced(log: DataFrame, seed: int = 0) -> DataFrame:
-    """The operations of the writer that is active."""
-    return live(log, seed).where("operation_id is not null")
+def fenced(log: DataFrame, seed: int = 0, known: tuple | None = None) -> DataFrame:
+    """The operations of the writer that is active, flat."""
+    return flat(active_epochs(log, seed, known=known).where("record_type = 'operations' and epoch = active")).where("operation_id is not null")
 
 
 def stale(log: DataFrame, seed: int = 0) -> DataFrame:
@@ -116,8 +119,9 @@ def replay(log: DataFrame, seed: int = 0) -> DataFrame:
     """Applied operations with running balances: fenced, first of each id, then
     summed. An id that comes again with another payload has no effect here (see
     ``conflicting_rows``)."""
-    rows = fenced(log, seed).select(*ORDER, *FIELDS)
-    return running_balances(first_wins(rows, *ORDER), *ORDER)
+    known = extent(log)
+    rows = first_wins(fenced(log, seed, known).select(*ORDER, *FIELDS), *ORDER)
+    return running_balances(rows, *ORDER, ends=known[1:])
 
 
 def history(log: DataFrame, seed: int = 0) -> DataFrame:
