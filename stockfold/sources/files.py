@@ -52,11 +52,13 @@ def why(o: Column) -> Column:
     return F.coalesce(*(F.when(b, r) for b, r in bad))
 
 
-def decode(lines: DataFrame, column: str = "value") -> DataFrame:
+def decode(lines: DataFrame, column: str = "value", rules: bool = True) -> DataFrame:
     """Adds record_type, epoch, owner, operations and payload (the line's bytes)
     of a log line by the first form that fits: a tagged object, a bare array
     (epoch 0), else poison. One malformed or invalid operation makes the whole
-    record poison; a record may have no operations, or any number."""
+    record poison; a record may have no operations, or any number. Without
+    ``rules`` the form alone decides, so a record whose operations are well formed
+    but invalid (a delta of zero, say) keeps them."""
     c = F.col(column)
     rows = lines.withColumn("_v", F.try_parse_json(c))
     v = F.col("_v")
@@ -64,7 +66,7 @@ def decode(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = rows.withColumn("_bare", F.coalesce(bare, F.lit(False))).withColumn("_kind", F.when(F.col("_bare"), "operations").otherwise(text(v, "record_type")))
     listed = F.coalesce(F.when(F.col("_bare"), elements(v)), elements(F.try_variant_get(v, "$.operations", "variant")))
     rows = rows.withColumn("_ops", F.transform(listed, operation)).withColumn("_epoch", F.when(F.col("_bare"), F.lit(0).cast("long")).otherwise(whole(v, "epoch"))).withColumn("_owner", text(v, "owner"))
-    invalid = F.exists("_ops", lambda o: malformed(o) | why(o).isNotNull())
+    invalid = F.exists("_ops", lambda o: malformed(o) | why(o).isNotNull() if rules else malformed(o))
     good_ops = (F.col("_kind") == "operations") & (F.col("_epoch") >= 0) & F.col("_ops").isNotNull() & ~invalid
     good_fence = (F.col("_kind") == "fence") & (F.col("_epoch") >= 0) & F.col("_owner").isNotNull()
     good = F.coalesce(good_ops | good_fence, F.lit(False))

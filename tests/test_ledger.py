@@ -50,7 +50,7 @@ def odd_events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q_json_batches"])
+@pytest.mark.parametrize("name", ["q_json_batches", "q_log_tail"])
 def test_lines_with_invalid_operations_equal_sql(spark, odd_events, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd_events}/events.parquet'")
@@ -126,6 +126,13 @@ def test_decode(spark):
     assert kinds == {n: good.get(n, ("poison", None, None)) for n, _ in catalog.LINES}
 
 
+def test_decode_by_form(spark):
+    """Without the rules of values only the form makes a record poison."""
+    got = files.decode(spark.createDataFrame(catalog.LINES, "sequence long, value string"), rules=False)
+    deltas = {r.sequence: [o.delta for o in r.operations] for r in got.where("record_type = 'operations'").collect()}
+    assert deltas == {2: [5], 3: [5], 5: [0], 7: [], 9: [], 13: [5, 6]}
+
+
 def test_requests_are_refused_whole(spark):
     ops = lambda *o: "[" + ",".join(o) + "]"
     one = '{"operation_id":"a","owner_id":"o","sku":"s","delta":%s%s}'
