@@ -69,11 +69,16 @@ def decode(lines: DataFrame, column: str = "value", rules: bool = True) -> DataF
     invalid = F.exists("_ops", lambda o: malformed(o) | why(o).isNotNull() if rules else malformed(o))
     good_ops = (F.col("_kind") == "operations") & (F.col("_epoch") >= 0) & F.col("_ops").isNotNull() & ~invalid
     good_fence = (F.col("_kind") == "fence") & (F.col("_epoch") >= 0) & F.col("_owner").isNotNull()
-    good = F.coalesce(good_ops | good_fence, F.lit(False))
-    return rows.withColumns({
-        "record_type": F.when(good, F.col("_kind")).otherwise("poison"), "epoch": F.when(good, F.col("_epoch")), "owner": F.when(good & (F.col("_kind") == "fence"), F.col("_owner")),
-        "operations": F.when(good & (F.col("_kind") == "operations"), F.col("_ops")), "payload": F.encode(c, "UTF-8"),
-    }).drop("_v", "_bare", "_kind", "_ops", "_epoch", "_owner")
+    rows = rows.withColumn("_good", F.coalesce(good_ops | good_fence, F.lit(False)))
+    good = F.col("_good")
+    found = F.struct(
+        F.when(good, F.col("_kind")).otherwise("poison").alias("record_type"), F.when(good, F.col("_epoch")).alias("epoch"),
+        F.when(good & (F.col("_kind") == "fence"), F.col("_owner")).alias("owner"), F.when(good & (F.col("_kind") == "operations"), F.col("_ops")).alias("operations"),
+    )
+    # an explode, as filters are not pushed below it: a filter would repeat the whole parsing at every mention of a column
+    rows = rows.withColumn("_found", F.explode(F.array(found)))
+    got = {n: F.col(f"_found.{n}") for n in ("record_type", "epoch", "owner", "operations")}
+    return rows.withColumns(got | {"payload": F.encode(c, "UTF-8")}).drop("_v", "_bare", "_kind", "_ops", "_epoch", "_owner", "_good", "_found")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

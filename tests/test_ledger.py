@@ -50,7 +50,7 @@ def odd_events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q_json_batches", "q_log_tail"])
+@pytest.mark.parametrize("name", ["q_json_batches", "q_log_tail", "q_replay_lines"])
 def test_lines_with_invalid_operations_equal_sql(spark, odd_events, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd_events}/events.parquet'")
@@ -133,6 +133,12 @@ def test_decode_by_form(spark):
     assert deltas == {2: [5], 3: [5], 5: [0], 7: [], 9: [], 13: [5, 6]}
 
 
+def test_filters_do_not_repeat_the_parsing(spark):
+    log = files.decode(catalog.log_lines(spark, SF))
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(log.where(replay.FENCE)) < 2 * plan(log)
+
+
 def test_requests_are_refused_whole(spark):
     ops = lambda *o: "[" + ",".join(o) + "]"
     one = '{"operation_id":"a","owner_id":"o","sku":"s","delta":%s%s}'
